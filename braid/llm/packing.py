@@ -40,8 +40,10 @@ from braid.llm.common import staged
 CAPACITY = 1024
 END_ID = 2
 #: Groups of the linear grouping; lengths up to CAPACITY / SMALL_PART are small.
-GROUPS = 96
+GROUPS = 256
 SMALL_PART = 8
+#: The linear program stops within this share of its optimum.
+GAP = 0.005
 BUCKETS = 4096
 #: Chunks in a worker's memo; it starts anew when full.
 MEMO = 300_000
@@ -155,53 +157,53 @@ def groups_of(hist: dict[int, int], least: int, k: int) -> list[list[int]]:
     return out
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, steps: int = 4000) -> list[tuple[np.ndarray, float]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int, gap: float = GAP) -> list[tuple[np.ndarray, float]]:
     """(copies of each size, how many) of a linear program that covers the demand with the fewest sequences.
 
     Column generation: a revised simplex over the configurations so far, and a knapsack over the dual values for the
-    next one.
+    next one. It stops within ``gap`` of the optimum: no solution is under the present one divided by the best value of
+    a configuration. ``sizes`` fall.
     """
-    k, s = len(sizes), np.array(sizes)
+    k, s, need = len(sizes), np.array(sizes), np.array(demand, float)
     basis = np.diag([capacity // x for x in sizes]).astype(float)
     inverse = np.linalg.inv(basis)
-    amount = inverse @ np.array(demand, float)
-    most = capacity // min(sizes)
-    at = np.arange(capacity + 1)[None, :] - s[:, None]
-    fits = at >= 0
-    at = np.where(fits, at, 0)
-    for step in range(steps):
-        value = np.ones(k) @ inverse
-        best, took = np.zeros(capacity + 1), []
-        for _ in range(most):
-            each = np.where(fits, best[at] + value[:, None], -1.0)
-            pick = each.argmax(axis=0)
-            new = each[pick, np.arange(capacity + 1)]
-            pick = np.where(new > best + 1e-12, pick, -1)
-            best = np.maximum(best, new)
-            took.append(pick)
-        if best[capacity] <= 1 + 1e-7:
+    amount = inverse @ need
+    first = np.searchsorted(-s, -np.arange(capacity + 1))  # sizes from there on fit
+    for step in range(50 * k):
+        value = inverse.sum(axis=0)
+        best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        for c in range(sizes[-1], capacity + 1):
+            each = best[c - s[first[c] :]] + value[first[c] :]
+            pick = int(each.argmax())
+            if each[pick] > best[c - 1]:
+                best[c], took[c] = each[pick], first[c] + pick
+            else:
+                best[c] = best[c - 1]
+        if best[capacity] <= 1 + gap:
             break
         column, c = np.zeros(k), capacity
-        for pick in reversed(took):
-            if pick[c] >= 0:
-                column[pick[c]] += 1
-                c -= sizes[pick[c]]
+        while c > 0:
+            if took[c] < 0:
+                c -= 1
+            else:
+                column[took[c]] += 1
+                c -= sizes[took[c]]
         move = inverse @ column
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(move > 1e-9, amount / move, np.inf)
+        ratio = np.divide(amount, move, out=np.full(k, np.inf), where=move > 1e-9)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
         basis[:, out] = column
         if step % 64 == 63:
             inverse = np.linalg.inv(basis)
-            amount = np.maximum(inverse @ np.array(demand, float), 0)
+            amount = np.maximum(inverse @ need, 0)
         else:
             row = inverse[out] / move[out]
             inverse -= np.outer(move, row)
             inverse[out] = row
-            amount = np.maximum(amount - move * ratio[out], 0)
-            amount[out] = ratio[out]
+            taken = ratio[out]
+            amount = np.maximum(amount - move * taken, 0)
+            amount[out] = taken
     return [(basis[:, j].astype(int), float(amount[j])) for j in range(k)]
 
 
