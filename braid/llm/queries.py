@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braid.llm import feistel_shards, line_quality, packing
+from braid.llm import feistel_shards, jaccard_join, line_quality, packing
 from braid.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score_documents(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op5_line_quality, op9_feistel_shards)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_jaccard_join, op5_line_quality, op9_feistel_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
