@@ -29,6 +29,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array as pack
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ SMALL_PART = 8
 GAP = 0.005
 BUCKETS = 4096
 #: Chunks in a worker's memo; it starts anew when full.
-MEMO = 300_000
+MEMO = 60_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -70,7 +71,7 @@ class Encoder:
         self.odd = re.compile(r"[^\S \n]").search
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.encode(text), dtype="<u4").tobytes()
+        return pack("I", self.encode(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if self.meets(text) or self.odd(text):

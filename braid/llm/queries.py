@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from braid.llm import feistel_shards, jaccard_join, line_quality, packing
+from braid.llm import decontam, feistel_shards, jaccard_join, line_quality, packing, toxicity
 from braid.llm.common import table
 
 
@@ -22,12 +23,25 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x["item_id"])))
+    return out.select("doc_id", "contaminated", items.alias("item_ids"), F.size(items).cast("long").alias("n_items"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    grammar = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.bucket(F.col("doc_id")) != 1)
+    out = toxicity.score_documents(docs, grammar)
+    return out.select("doc_id", (toxicity.bucket(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted", F.size("clauses").cast("long").alias("n_clauses"))
+
+
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_jaccard_join, op5_line_quality, op9_feistel_shards)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_jaccard_join, op5_line_quality, op7_decontamination, op8_toxicity, op9_feistel_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
