@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braid.llm import decontam, feistel_shards, jaccard_join, line_quality, packing, toxicity
+from braid.llm import decontam, feistel_shards, jaccard_join, line_quality, packing, ppm_langid, toxicity
 from braid.llm.common import table
 
 
@@ -23,6 +23,12 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ppm_langid.fit(docs, ppm_langid.bucket(F.col("doc_id")) != 1)
+    return ppm_langid.identify(docs, model).select("doc_id", (ppm_langid.bucket(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x["item_id"])))
@@ -41,7 +47,7 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_jaccard_join, op5_line_quality, op7_decontamination, op8_toxicity, op9_feistel_shards)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_jaccard_join, op5_line_quality, op6_ppm_language, op7_decontamination, op8_toxicity, op9_feistel_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
