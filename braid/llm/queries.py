@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braid.llm import decontam, feistel_shards, jaccard_join, line_quality, packing, ppm_langid, toxicity
+from braid.llm import decontam, feistel_shards, jaccard_join, license_scan, line_quality, packing, ppm_langid, token_counts, toxicity
 from braid.llm.common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -46,8 +50,13 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "license", "coverage", F.size("matches").cast("long").alias("n_matches"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_jaccard_join, op5_line_quality, op6_ppm_language, op7_decontamination, op8_toxicity, op9_feistel_shards)}
+    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_jaccard_join, op5_line_quality, op6_ppm_language, op7_decontamination, op8_toxicity, op9_feistel_shards, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
