@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braid.llm import decontam, feistel_shards, jaccard_join, license_scan, line_quality, packing, ppm_langid, token_counts, toxicity
+from braid.llm import decontam, feistel_shards, jaccard_join, kn_quality, license_scan, line_quality, packing, ppm_langid, token_counts, toxicity
 from braid.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn_quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score_documents(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_jaccard_join, op5_line_quality, op6_ppm_language, op7_decontamination, op8_toxicity, op9_feistel_shards, op10_license_scan)}
+    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_jaccard_join, op4_kn_quality, op5_line_quality, op6_ppm_language, op7_decontamination, op8_toxicity, op9_feistel_shards, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
