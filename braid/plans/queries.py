@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from braid.functions import scalars as sc
 from braid.functions import state as st
+from braid.operators import lifecycle as lc
 from braid.operators import reducers as rd
 from braid.operators import relational as rel
 from braid.operators import routing as rt
@@ -487,3 +488,90 @@ def thread_fold(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").withColumn("r", F.substring("role", 1, 1)).withColumn("n", F.length("text"))
     return rd.fold(rows, ["conv_id"], ["turn"], {"roles": ("concat", "r"), "chars": ("add", "n"), "final": ("replace", "text")})
 
+
+
+# ---------------------------------------------------------------- lifecycle and metrics
+
+
+@query(f"""WITH {STEPS}, c AS (SELECT step_id, {_DUE} AS due, step_id % 3 AS attempt, created_at, lease_expires FROM steps) SELECT step_id, due, CASE WHEN due THEN {NOW_SQL} + to_milliseconds(31000) ELSE lease_expires END AS lease,
+ CASE WHEN due AND attempt = 0 THEN {NOW_SQL} ELSE created_at END AS started FROM c""")
+def claims(spark, sf_dir):
+    """Due steps become running under a lease."""
+    rows = steps(spark, sf_dir).withColumns({"time_budget_ms": F.lit(1000), "attempt": F.pmod("step_id", F.lit(3)), "started_at": F.col("created_at")})
+    due = sch.due(NOW)
+    out = lc.claimed(rows.withColumn("due", due), due, NOW)
+    return out.select("step_id", "due", F.col("lease_expires").cast("timestamp_ntz").alias("lease"), F.col("started_at").cast("timestamp_ntz").alias("started"))
+
+
+@query(f"""WITH {FLOWS} SELECT CASE WHEN flow_id % 6 = 0 AND status NOT IN ('completed', 'failed', 'cancelled') THEN 'cancelled' ELSE status END AS status,
+ CASE WHEN flow_id % 6 = 0 AND status NOT IN ('completed', 'failed', 'cancelled') THEN 'stop' END AS cancel_reason, count(*) AS n FROM flows GROUP BY ALL""")
+def cancel(spark, sf_dir):
+    """The live flows of a subtree, in one projection."""
+    f = flows(spark, sf_dir)
+    return lc.cancelled(f, f.filter(F.pmod("flow_id", F.lit(6)) == 0), "stop").groupBy("status", "cancel_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {FLOWS} SELECT flow_id, CASE WHEN status = 'running' THEN CASE WHEN flow_id % 2 = 0 THEN 'completed' ELSE 'failed' END ELSE status END AS status,
+ CASE WHEN status = 'running' AND flow_id % 2 = 0 THEN 'r' || flow_id END AS final_state FROM flows""")
+def deliveries(spark, sf_dir):
+    """Results end live flows once."""
+    f = flows(spark, sf_dir).withColumn("final_state", F.lit(None).cast("string"))
+    done = f.filter("status IN ('running', 'completed', 'failed')").select("shard", "flow_id", F.when(F.pmod("flow_id", F.lit(2)) == 0, "completed").otherwise("failed").alias("outcome"), F.concat(F.lit("r"), F.col("flow_id").cast("string")).alias("result"))
+    return lc.ended(f, done).select("flow_id", "status", "final_state")
+
+
+@query(f"""WITH {FLOWS} SELECT shard, flow_id FROM flows WHERE status IN ('completed', 'failed', 'cancelled', 'interrupted') AND (epoch_ms({NOW_SQL}) - epoch_ms(updated_at) <= 86400000::BIGINT * 60 OR flow_id % 1000 = 7)""")
+def awaited_flows(spark, sf_dir):
+    """P18, T5, X14."""
+    f = flows(spark, sf_dir)
+    return lc.awaited(f, f.filter(F.pmod("flow_id", F.lit(1000)) == 7), NOW, 86400000 * 60).select("shard", "flow_id")
+
+
+@query("""SELECT a.event_id AS step_id, 'big' || (a.event_id - a.event_id % 10) AS v FROM events a""")
+def referenced_fields(spark, sf_dir):
+    """Fields stored by reference, put back from their anchor."""
+    e = read(spark, sf_dir, "events").select("event_id")
+    anchor = F.col("event_id") - F.pmod("event_id", F.lit(10))
+    own = F.create_map(F.lit("v"), F.concat(F.lit("big"), F.col("event_id").cast("string")))
+    none = F.map_filter(own, lambda k, v: F.lit(False))
+    first = F.pmod("event_id", F.lit(10)) == 0
+    rows = e.select(F.col("event_id").alias("step_id"), F.when(first, own).otherwise(none).alias("state"), none.alias("changes"), F.when(first, F.map_filter(F.create_map(F.lit("v"), anchor), lambda k, v: F.lit(False))).otherwise(F.create_map(F.lit("v"), anchor)).alias("refs"))
+    return lc.resolved(rows.drop("changes"), rows.filter(F.size("refs") == 0)).select("step_id", F.element_at("state", "v").alias("v"))
+
+
+@query("""SELECT user_id AS step_id, event_id AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'error' DESC, floor(value) DESC, event_id) AS rn FROM events) WHERE rn <= 4 OR event_type = 'error'""")
+def anchor_choice(spark, sf_dir):
+    """Pinned anchors and the largest others."""
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("step_id"), F.col("event_id").alias("anchor"), F.floor("value").alias("bytes"), (F.col("event_type") == "error").alias("pinned"))
+    return lc.anchored(rows).select("step_id", "anchor")
+
+
+@query(f"""WITH {FLOWS} SELECT workflow_name, status, shard, count(*) AS value FROM flows WHERE status IN ('completed', 'failed', 'cancelled') GROUP BY ALL""")
+def flows_terminated(spark, sf_dir):
+    """A counter by its attributes."""
+    return lc.counters(flows(spark, sf_dir).filter(sc.is_terminal(F.col("status"))), ["workflow_name", "status", "shard"])
+
+
+@query("""SELECT event_type, (value > 5)::INT + (value > 10)::INT + (value > 25)::INT + (value > 50)::INT AS bucket, count(*) AS n FROM events GROUP BY ALL""")
+def wait_histogram(spark, sf_dir):
+    """Fixed boundaries."""
+    return lc.histogram(read(spark, sf_dir, "events"), "value", [5.0, 10.0, 25.0, 50.0], ["event_type"])
+
+
+@query("""SELECT role AS task, 'text' AS "column", sum(strlen(text))::BIGINT AS bytes FROM conversations GROUP BY 1""")
+def state_write_bytes(spark, sf_dir):
+    """Bytes written by column."""
+    return lc.state_bytes(read(spark, sf_dir, "conversations").withColumnRenamed("role", "task"), ["text"], ["task"])
+
+
+@query(f"""WITH {STEPS} SELECT fairness_key, priority, CASE WHEN bool_and(status IN ('completed', 'failed', 'cancelled')) THEN epoch_ms(max(updated_at)) - epoch_ms(min(created_at)) END AS wall_ms FROM steps WHERE status <> 'running' OR priority > 2 GROUP BY ALL""")
+def wall_times(spark, sf_dir):
+    """Only over groups that have ended."""
+    return lc.wall_time(steps(spark, sf_dir).filter("status <> 'running' OR priority > 2"), ["fairness_key", "priority"])
+
+
+@query("""SELECT conv_id AS flow_id, 'flowchart TD' || chr(10) || string_agg('  s' || turn || '["' || role || ' completed"]' || CASE WHEN turn % 2 = 0 THEN chr(10) || '  s' || turn || ' --> s' || (turn + 1) ELSE '' END, chr(10) ORDER BY turn) AS diagram FROM conversations GROUP BY 1""")
+def history_diagrams(spark, sf_dir):
+    """A diagram of each history."""
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("flow_id"), F.col("turn").alias("step_id"), F.col("role").alias("task_name"), F.lit("completed").alias("status"), F.when(F.pmod("turn", F.lit(2)) == 0, F.col("turn") + 1).otherwise(0).alias("successor_id"))
+    return lc.history_mermaid(rows)
