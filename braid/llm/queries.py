@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from braid.llm import decontam, feistel_shards, jaccard_join, kn_quality, license_scan, line_quality, packing, ppm_langid, token_counts, toxicity
 from braid.llm.common import table
+from braid.llm.oracles import ORACLES
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
