@@ -8,10 +8,10 @@ Documents are sets of five-word shingles; a link joins two documents whose sets
    ``LIMIT`` are leaves; larger ones are split again, up to ``DEPTH`` levels; what is still large then is compared in
    blocks, so that no bucket is capped. As many runs are made as the target recall asks for at that depth.
 3. Leaves are compared by brute force on the coordinates (estimated similarity within four standard errors of 0.8 or
-   above), which gives a spanning forest of each leaf, never all its pairs.
+   above), which gives each connected node of a leaf an edge to the least one, never all pairs.
 4. The connected components of these are candidate clusters. Only their sets are made again, sent once to their cluster,
-   and compared exactly, in blocks where a cluster is large. A block returns the link counts of its nodes and a spanning
-   forest of its links; the components of those are the classes.
+   and compared exactly, in blocks where a cluster is large. A block returns the link counts of its nodes and such
+   edges for its links; the components of those are the classes.
 
 Scale: shuffles carry 16 bytes for a node and path, 264 for a node of a leaf, and texts only once. Comparing a cluster in
 blocks costs the square of its number of *different* sets, as every link between different texts counts; it is dealt
@@ -190,7 +190,7 @@ def _runs_of(batches, keys: list[str]):
 
 
 class Forest:
-    """Keeps the edges that join two trees."""
+    """Connected nodes. A tree is known by its least node, so that the same group gives the same edges in every bucket."""
 
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -201,12 +201,14 @@ class Forest:
             up[x] = x = up.get(y, y)
         return x
 
-    def join(self, a: int, b: int) -> bool:
+    def join(self, a: int, b: int) -> None:
         a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def edges(self) -> list[tuple[int, int]]:
+        """(least node of its tree, node) of every other node."""
+        return [(self.root(x), x) for x in list(self.up)]
 
 
 def _close(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -218,7 +220,7 @@ def _close(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
 
 
 def _leaf_edges(rows: DataFrame, least: float) -> DataFrame:
-    """(u, v): a spanning forest of the close pairs of each leaf block (path, i_, j_)."""
+    """(u, v): edges to the least node that connect the close pairs of each leaf block (path, i_, j_)."""
     keys = ["path", "i_", "j_"]
 
     def run(batches):
@@ -237,8 +239,8 @@ def _leaf_edges(rows: DataFrame, least: float) -> DataFrame:
                 hit = _close(t[a], t[a], least) if i == j else _close(t[a][own[a] == i], t[a][own[a] == j], least)
                 f = Forest()
                 for x, y in zip(*np.nonzero(np.triu(hit, 1) if i == j else hit), strict=True):
-                    if f.join(int(left[x]), int(right[y])):
-                        found.append((int(left[x]), int(right[y])))
+                    f.join(int(left[x]), int(right[y]))
+                found += f.edges()
             if found:
                 yield pd.DataFrame(found, columns=["u", "v"])
 
@@ -331,11 +333,10 @@ def _links(rows: DataFrame, similarity: float) -> DataFrame:
                 counts[left] += hit @ copies[right]
                 if i != j:
                     counts[right] += hit.T @ copies[left]
-                f, out = Forest(), []
+                f = Forest()
                 for x, y in zip(*np.nonzero(np.triu(hit) if i == j else hit), strict=True):
-                    u, v = int(node[left[x]]), int(node[right[y]])
-                    if f.join(u, v):
-                        out.append((u, v, 0))
+                    f.join(int(node[left[x]]), int(node[right[y]]))
+                out = [(u, v, 0) for u, v in f.edges()]
                 out += [(int(node[x]), None, int(counts[x])) for x in np.nonzero(counts)[0]]
                 yield pd.DataFrame({c: pd.array([r[k] for r in out], "Int64") for k, c in enumerate(("u", "v", "links"))})
 
