@@ -278,7 +278,7 @@ def reap(spark, sf_dir):
 @query("""SELECT conv_id, turn, role, length(text) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1""")
 def latest_turn(spark, sf_dir):
     """The latest turn of each thread."""
-    return rel.latest(read(spark, sf_dir, "conversations"), ["conv_id"], ["turn"]).select("conv_id", "turn", "role", F.length("text").alias("n"))
+    return rel.latest(read(spark, sf_dir, "conversations"), ["conv_id"], ["turn"]).select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
 
 
 @query("""SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1""")
@@ -400,7 +400,7 @@ def fetch_steps(spark, sf_dir):
     """D2, W2."""
     due = _due(spark, sf_dir)
     wanted = sch.scan_band(due, 10).filter(F.col("fairness_key").isin("k1", "k2", "k3"))
-    return sch.fetch_steps(due, wanted, 5).select("fairness_key", "step_id", "rn")
+    return sch.fetch_steps(due, wanted, 5).select("fairness_key", "step_id", F.col("rn").cast("long").alias("rn"))
 
 
 _TALLY = f"""{STEPS}, d AS (SELECT * FROM steps WHERE {_DUE}), t AS (SELECT shard, fairness_key, priority, count(*) AS n, min(created_at) AS oldest, min_by(CASE WHEN fairness_weight <= 0 THEN 1.0 ELSE fairness_weight END, (created_at, step_id)) AS weight
