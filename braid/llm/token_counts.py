@@ -55,24 +55,28 @@ class Counter:
         self.unknown = min(scores.values(), default=0.0) - PENALTY
         ends: dict[str, set[int]] = {}
         for p in scores:
-            ends.setdefault(p[-1], set()).add(len(p))
-        #: lengths of the pieces that end with a character
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        #: lengths of the longer pieces that end with two characters
         self.lengths = {c: tuple(sorted(n)) for c, n in ends.items()}
         self.memo: dict[str, int] = {}
 
     def _extend(self, word: str, score: list[float], count: list[int], at: int) -> None:
         """Nodes of ``word`` below the node of its first ``at`` characters."""
-        get, lengths = self.scores.get, self.lengths
+        get, lengths, unknown = self.scores.get, self.lengths, self.unknown
         for end in range(at + 1, len(word) + 1):
             c = word[end - 1]
-            best, n = -math.inf, 0
-            for k in lengths.get(c, ()):
-                if k > end:
-                    break
-                if (s := get(word[end - k : end])) is not None and score[end - k] + s > best:
-                    best, n = score[end - k] + s, count[end - k] + 1
-            if c not in self.scores and score[end - 1] + self.unknown > best:
-                best, n = score[end - 1] + self.unknown, count[end - 1] + len(c.encode())
+            s = get(c)
+            if s is None:
+                best, n = score[end - 1] + unknown, count[end - 1] + len(c.encode())
+            else:
+                best, n = score[end - 1] + s, count[end - 1] + 1
+            if end > 1:
+                for k in lengths.get(word[end - 2 : end], ()):
+                    if k > end:
+                        break
+                    if (s := get(word[end - k : end])) is not None and score[end - k] + s > best:
+                        best, n = score[end - k] + s, count[end - k] + 1
             score.append(best)
             count.append(n)
 
