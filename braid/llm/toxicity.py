@@ -13,9 +13,10 @@ score of a text is the logistic of the bias and the weighted sums of its matches
 a clause.
 
 Learning: insult words and stems come from labelled rows. From ``SAMPLE`` rows of either label at most (the least by
-a hash of doc_id; whole texts), words and prefixes are taken that toxic rows have too often for chance; the weight of one
-is the logarithm of the ratio of its rates. A logistic regression, weighted to the labels' own shares and drawn to the prior factors
-below, gives the bias and the factors of the kinds. Everything else covers all rows.
+a hash of doc_id; whole texts), words and prefixes are taken that toxic rows have too often for chance and that explain
+toxic rows which no other does; the weight of one is the logarithm of the ratio of its rates. A logistic regression,
+weighted to the labels' own shares and drawn to the prior factors below, gives the bias and the factors of the kinds.
+Everything else covers all rows.
 
 Scale: the model has some hundred arcs; documents are scored where they are, without a shuffle.
 
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,8 @@ REACH = 3
 LEAST_ROWS = 3
 CHANCE = 0.05
 LEAST_LIFT = 4.0
+#: What a row without the label that has a feature counts against one with it, at equal shares.
+WRONG = 5.0
 PREFIXES = (3, 4, 5, 6, 7)
 #: Prior bias, factors of the kinds of matches, weight of a threat, and how firmly the regression holds on to them.
 BIAS = -3.0
@@ -228,12 +231,28 @@ def _features(rows: DataFrame) -> DataFrame:
     return counted.groupBy("feature").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
 
 
+def _having(rows: DataFrame, names: set[str]) -> list[list[str]]:
+    """The features among ``names`` of each toxic row of the sample."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for text in pdf["text"]:
+                words = set(WORD.findall((text or "").lower()))
+                out.append(sorted(names & ({"=" + w for w in words} | {"^" + w[:k] for w in words for k in PREFIXES if len(w) > k})))
+            yield pd.DataFrame({"found": out})
+
+    return [r["found"] for r in rows.filter("toxic = 1").mapInPandas(run, "found array<string>").collect()]
+
+
 def insults(rows: DataFrame, total: dict[int, int]) -> tuple[dict[str, float], dict[str, float]]:
     """Weighted words and stems that toxic rows of the sample have too often for chance.
 
     total: rows of either label in the sample. A feature with n rows of which a
     part q is toxic passes if n * KL(q, chance) exceeds the logarithm of all features / ``CHANCE``. A stem must have more
-    rows than its most frequent word and than any longer stem that passes.
+    rows than its most frequent word and than any longer stem that passes. Of these, features are taken greedily while
+    each explains more toxic rows for which none before stands than chance would; so the other words of a toxic text
+    that was copied often are not taken, as its insults explain its copies.
     """
     counted = staged(_features(rows), "features")
     p = total[1] / (total[0] + total[1])
@@ -243,14 +262,28 @@ def insults(rows: DataFrame, total: dict[int, int]) -> tuple[dict[str, float], d
     lift = ((F.col("yes") + 0.5) / (total[1] + 1)) / ((F.col("no") + 0.5) / (total[0] + 1))
     found = counted.filter((F.col("yes") >= LEAST_ROWS) & (q > p) & (n * kl >= least)).withColumn("lift", lift).filter(F.col("lift") >= LEAST_LIFT).collect()
     weight = {r["feature"]: min(CEILING / 2, math.log(r["lift"])) for r in found}
-    yes = {r["feature"]: r["yes"] for r in found}
-    words = {f[1:]: w for f, w in weight.items() if f[0] == "="}
+    yes, no = ({r["feature"]: r[k] for r in found} for k in ("yes", "no"))
     inside: dict[str, int] = defaultdict(int)
     for f, c in yes.items():
         for k in PREFIXES:
             if len(f) - 1 > k:
                 inside[f[1 : k + 1]] = max(inside[f[1 : k + 1]], c)
-    return words, {f[1:]: w for f, w in weight.items() if f[0] == "^" and yes[f] > 1.05 * inside[f[1:]]}
+    names = {f for f in weight if f[0] == "=" or yes[f] > 1.05 * inside[f[1:]]}
+    left, chosen = [x for x in _having(rows, names) if x], []
+    while left:
+        cover = Counter(f for fs in left for f in fs)
+        # of equal ones the whole word, then the longest stem
+        gain = {f: n - WRONG * no[f] * total[1] / total[0] for f, n in cover.items()}
+        f = max(cover, key=lambda f: (gain[f], f[0] == "=", len(f), f))
+        if gain[f] <= 0 or cover[f] < max(LEAST_ROWS, least / math.log(sum(total.values()) / len(left))):
+            break
+        chosen.append(f)
+        left = [fs for fs in left if f not in fs]
+    # what only stands beside others explains no row of its own; if it is about as frequent as the chosen, it is an insult too
+    for kind, part in (("=", 0.8), ("^", 0.5)):
+        usual = min((yes[f] for f in chosen if f[0] == kind and not no[f]), default=math.inf)
+        chosen += [f for f in sorted(names) if f[0] == kind and not no[f] and yes[f] >= part * usual and not any(f.startswith("^" + x[1:]) or x[1:].startswith(f[1:]) for x in chosen)]
+    return {f[1:]: weight[f] for f in chosen if f[0] == "="}, {f[1:]: weight[f] for f in chosen if f[0] == "^"}
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, size: int = SAMPLE) -> Grammar:
