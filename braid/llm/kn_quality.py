@@ -181,7 +181,7 @@ def _scored(pdf: pd.DataFrame, tables: dict[str, tuple[np.ndarray, np.ndarray]])
 
 def _tables(rows: pd.DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     out = {}
-    for lang, part in rows.groupby("lang", sort=False):
+    for lang, part in rows.groupby("lang", sort=False, observed=True):
         key = part["gram"].to_numpy().view(np.uint64)
         order = np.argsort(key)
         out[lang] = key[order], part["logp"].to_numpy()[order]
@@ -189,7 +189,8 @@ def _tables(rows: pd.DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 
 def _by_broadcast(flagged: DataFrame, p: DataFrame) -> DataFrame:
-    model = flagged.sparkSession.sparkContext.broadcast(_tables(p.toPandas()))
+    # as Arrow batches: rows would take the driver some hundred bytes each
+    model = flagged.sparkSession.sparkContext.broadcast(_tables(p.toArrow().to_pandas(strings_to_categorical=True)))
 
     def run(batches):
         for pdf in batches:
