@@ -2,12 +2,11 @@
 
 Lines are normalised (trimmed, lower case, runs of white space as one space) and hashed. For each host the distinct
 documents of a line are counted; copies of one text count as one document, so that a text which was crawled many times
-is not taken for boilerplate (the near-duplicate stage deals with it). A line above the host's limit is boilerplate:
-it is removed, and a document that has lost more than a stated share of its words by that is depleted and rejected.
+is not taken for boilerplate (the near-duplicate stage deals with it). A line in more than ``MIN_DOCS`` of a host's
+documents is boilerplate, however large the host is: it is removed, and a document that has lost more than a stated share of its words by that is depleted and rejected.
 
 Native: DataFrame functions only. The text is read once; what follows works on a slim staged table of hashes and counts.
-The frequent lines of a host number ``lines of a document / share`` at most, as each is in that share of the documents;
-they are broadcast only after their number was checked, and joined by a shuffle (split by AQE where skewed) beyond.
+The frequent lines number ``lines / MIN_DOCS`` at most, as each is in so many documents; they are broadcast only after their number was checked, and joined by a shuffle (split by AQE where skewed) beyond.
 
 Defined results: null text has no lines and no words (base_failed); empty text likewise; null host is a host of its own;
 repeated rows get equal verdicts and count once; an empty table gives an empty result; further columns pass through
@@ -21,10 +20,8 @@ from pyspark.sql import functions as F
 
 from braid.llm.common import SPACES, let, staged
 
-#: A line is boilerplate in a host if more documents than this have it ...
+#: A line is boilerplate in a host if more documents than this have it.
 MIN_DOCS = 10
-#: ... and more than this share of the host's documents.
-MAX_SHARE = 0.02
 #: A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.3
 #: Frequent lines that may be broadcast (24 bytes each).
@@ -94,13 +91,11 @@ def _slim(docs: DataFrame) -> DataFrame:
     return staged(docs.select("doc_id", F.col("source").alias("host"), F.xxhash64("text", F.length("text")).alias("tkey"), *[c.alias(k) for k, c in base_counts(F.col("text")).items()], hashed.alias("lines")), "lines")
 
 
-def frequent_lines(slim: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, h, n_docs) of the lines above the host's limit; staged, and few."""
+def frequent_lines(slim: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(host, h, n_docs) of the lines above the limit; staged."""
     texts = slim.select("host", "tkey", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     counts = texts.groupBy("host", "h", "tkey").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.sum("one").alias("n_docs"))
-    hosts = slim.groupBy("host", "tkey").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("host_")).agg(F.sum("one").alias("host_docs"))
-    some = counts.filter(F.col("n_docs") > min_docs)
-    return staged(some.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).filter(F.col("n_docs") > F.col("host_docs") * max_share).select("host", "h", "n_docs"), "frequent")
+    return staged(counts.filter(F.col("n_docs") > min_docs), "frequent")
 
 
 def _sized(frequent: DataFrame, limit: int) -> DataFrame:
@@ -124,9 +119,9 @@ def _losses(slim: DataFrame, frequent: DataFrame) -> DataFrame:
     return once.groupBy(F.col("host").alias("host_"), F.col("tkey").alias("tkey_")).agg(F.sum("n").alias("removed_words"), F.count(F.lit(1)).alias("removed_lines"), F.collect_set("h").alias("bad"))
 
 
-def _verdicts(docs: DataFrame, min_docs: int, max_share: float, least_left: float, broadcast_lines: int) -> DataFrame:
+def _verdicts(docs: DataFrame, min_docs: int, least_left: float, broadcast_lines: int) -> DataFrame:
     slim = _slim(docs)
-    frequent = frequent_lines(slim, min_docs, max_share)
+    frequent = frequent_lines(slim, min_docs)
     losses = _losses(slim, F.broadcast(frequent) if frequent.count() <= broadcast_lines else frequent)
     out = slim.join(losses, _same(slim, losses, ["host", "tkey"]), "left").fillna(0, ["removed_words", "removed_lines"])
     depleted = (F.col("n_words") - F.col("removed_words")) < F.col("n_words") * least_left
@@ -134,16 +129,16 @@ def _verdicts(docs: DataFrame, min_docs: int, max_share: float, least_left: floa
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
-def score_documents(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, least_left: float = LEAST_LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def score_documents(docs: DataFrame, min_docs: int = MIN_DOCS, least_left: float = LEAST_LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """One row for each document: the base counts, base_failed, kept, removed_lines and removed_words."""
-    out = _verdicts(docs, min_docs, max_share, least_left, broadcast_lines)
+    out = _verdicts(docs, min_docs, least_left, broadcast_lines)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_lines", "removed_words")
 
 
-def clean_documents(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, least_left: float = LEAST_LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """The kept documents in their own columns, their text without the lines above the limits (n_chars follows)."""
+def clean_documents(docs: DataFrame, min_docs: int = MIN_DOCS, least_left: float = LEAST_LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """The kept documents in their own columns, their text without the lines above the limit (n_chars follows)."""
     own = docs.columns
-    judged = _verdicts(docs, min_docs, max_share, least_left, broadcast_lines)
+    judged = _verdicts(docs, min_docs, least_left, broadcast_lines)
     kept = judged.filter("kept").groupBy(F.col("host").alias("source_"), F.col("tkey").alias("tkey_")).agg(F.first("bad").alias("bad_"))
     keyed = docs.withColumn("tkey", F.xxhash64("text", F.length("text")))
     out = keyed.join(kept, _same(keyed, kept, ["source", "tkey"]))

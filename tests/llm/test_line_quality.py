@@ -42,6 +42,13 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert clean[200]["text"].startswith("w999x0x0")
 
 
+def test_a_large_host_does_not_raise_the_limit(spark):
+    lines = lambda i: ["subscribe to our letter"] * (i < 11) + ["seen ten times"] * (i < 10)
+    df = fx.docs(spark, [(i, "\n".join([f"text {i} alone", *lines(i)]), "en", "a") for i in range(1500)])
+    got = {r["doc_id"]: r["removed_words"] for r in op.score_documents(df).collect()}
+    assert got == {i: 4 * (i < 11) for i in range(1500)}
+
+
 def test_shuffled_join_gives_the_same(spark):
     a = op.score_documents(corpus(spark)).collect()
     b = op.score_documents(corpus(spark), broadcast_lines=0).collect()
