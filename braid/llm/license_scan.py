@@ -130,33 +130,56 @@ class Scanner:
                 n = Counter(region)
                 if sum(min(c, n[w]) for w, c in counts.items()) < need:
                     continue
-                out += [(name, c, start + s, start + e) for c, s, e in self.aligned(template, region)]
+                out += [(name, c, start + s, start + e) for c, s, e in self.aligned(name, region)]
         kept: list[tuple[str, float, int, int]] = []
         for x in sorted(out, key=lambda x: (-round(x[1] * len(self.words[x[0]])), -x[1], x[0], x[2])):
             if not any(x[2] < y[3] and y[2] < x[3] for y in kept):
                 kept.append(x)
         return kept
 
-    def aligned(self, template: list[str], region: list[str]) -> list[tuple[float, int, int]]:
-        """(coverage, first word, word after the last) of each copy of the template in a region, one after another."""
-        out, lo = [], 0
-        size = len(template) + self.gap
-        while lo < len(region):
-            # a copy spans little more than the template; where several follow each other the window moves on
-            best = None
-            for at in range(lo, max(lo + 1, len(region) - len(template) + 1)) if len(region) - lo > size else [lo]:
-                if len(region) - lo > size and region[at] not in template[:2]:
-                    continue
-                pairs = align(template, region[at : at + size])
-                if len(pairs) >= self.coverage * len(template) - 1e-9:
-                    best = (len(pairs) / len(template), at + pairs[0][1], at + pairs[-1][1] + 1)
-                    break
-            if best is None:
-                break
-            out.append(best)
-            lo = best[2]
+    def starts(self, name: str, region: list[str], lo: int, hi: int) -> list[int]:
+        """Words of the template in lo..hi where a window has enough words in common with it to reach the coverage."""
+        counts, need = self.counts[name], self.coverage * len(self.words[name]) - 1e-9
+        size = len(self.words[name]) + self.gap
+        have: Counter[str] = Counter()
+        out, common, end = [], 0, lo
+        for at in range(lo, hi):
+            for w in region[end : min(at + size, hi)]:
+                have[w] += 1
+                common += have[w] <= counts[w]
+            end = max(end, min(at + size, hi))
+            w = region[at]
+            if common >= need and w in counts:
+                out.append(at)
+            common -= have[w] <= counts[w]
+            have[w] -= 1
         return out
 
+    def aligned(self, name: str, region: list[str]) -> list[tuple[float, int, int]]:
+        """(coverage, first word, word after the last) of the copies of a template in a region.
+
+        The windows of all starts are aligned, whatever the region's length. Of matches that overlap, the one with more
+        matched words stays, then the shorter one; what lies between those that stay is searched again.
+        """
+        template, out = self.words[name], []
+        size, stack = len(template) + self.gap, [(0, len(region))]
+        while stack:
+            lo, hi = stack.pop()
+            found = set()
+            for at in self.starts(name, region, lo, hi):
+                pairs = align(template, region[at : min(at + size, hi)])
+                if len(pairs) >= self.coverage * len(template) - 1e-9:
+                    found.add((-len(pairs), pairs[-1][1] + 1 - pairs[0][1], at + pairs[0][1]))
+            taken: list[tuple[int, int]] = []
+            for n, span, first in sorted(found):
+                k = bisect_left(taken, (first, first))
+                if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or first + span <= taken[k][0]):
+                    taken.insert(k, (first, first + span))
+                    out.append((-n / len(template), first, first + span))
+            edges = [lo, *[x for t in taken for x in t], hi]
+            stack += [(i, j) for i, j in zip(edges[::2], edges[1::2], strict=True) if taken and i < j]
+        return sorted(out, key=lambda x: x[1])
+
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """One row for each document: doc_id, license, coverage, matches (array of template, coverage, first_word, end_word)."""

@@ -55,6 +55,28 @@ def test_variants():
     assert s.scan(scattered) == []
 
 
+def test_cut_notices_in_long_prose():
+    rng, s = random.Random(5), op.Scanner(op.TEMPLATES)
+    prose = lambda n: [rng.choice("the of a to is river stone walked under blue evening it and with".split()) for _ in range(n)]
+    for name in ("Apache-2.0-header", "MIT-text", "GPL-3.0-header", "BSD-conditions", "MPL-2.0"):
+        words = s.words[name]
+        for cut in (words[:-1], words[1:], words[2:], words[: len(words) // 2] + words[len(words) // 2 + 1 :]):
+            for before, after in ((174, 0), (0, 174), (200, 200), (3, 2)):
+                a, b = prose(before), prose(after)
+                best = max(len(op.align(words, (a + cut + b)[i : i + len(words) + op.GAP])) for i in range(before + len(cut)))
+                found = [x for x in s.scan(" ".join(a + cut + b)) if x[0] == name]
+                assert len(found) == 1 and found[0][1] * len(words) >= best - 1e-9, (name, before, after, found, best)
+                assert found[0][1] * len(words) >= len(cut) - 0.05 * len(words) and found[0][2] < before + 5
+
+
+def test_copies_next_to_each_other():
+    s = op.Scanner(op.TEMPLATES)
+    full, less = "Released under the MIT License. ", "Released under the License. "
+    for n in (1, 2, 50):
+        assert [x[1] for x in s.scan(less * n + full * n)].count(1.0) >= n
+    assert len(s.scan(full * 2000)) == 2000
+
+
 def test_hard_cases(spark):
     df = fx.with_extra(fx.hard(spark))
     got = op.scan_licenses(df).collect()
