@@ -12,8 +12,7 @@ The model of a language is over its characters, of order 4: the last character o
 3. A second pass looks each document's grams up. The probabilities go to all executors if their number is within
    ``BROADCAST_GRAMS`` (12 bytes each); beyond that documents are dealt into blocks of about ``BLOCK_BYTES``, each
    block's distinct grams are joined with their probabilities, and a block meets only its own.
-4. A document passes if its perplexity is at most ``MARGIN`` times the ``QUANTILE`` quantile of its language's trusted
-   documents.
+4. A document passes if its perplexity is at most the ``QUANTILE`` quantile of its language's trusted documents.
 
 Grams are packed into longs, 16 bits a character; characters beyond U+FFFE count as one. Scale: shuffles carry a row for
 each distinct gram of a task, never one for each character; the number of grams grows with the input as its text varies.
@@ -34,7 +33,6 @@ from braid.llm.common import staged
 
 ORDER = 4
 QUANTILE = 0.99
-MARGIN = 1.15
 BROADCAST_GRAMS = 4_000_000
 BROADCAST_LABELS = 4_000_000
 BLOCK_BYTES = 32 << 20
@@ -212,12 +210,12 @@ def _by_blocks(flagged: DataFrame, p: DataFrame, block_bytes: int) -> DataFrame:
     return blocked.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(lambda docs, rows: _scored(docs, _tables(rows)), SCORED)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, broadcast_grams: int = BROADCAST_GRAMS, broadcast_labels: int = BROADCAST_LABELS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, broadcast_grams: int = BROADCAST_GRAMS, broadcast_labels: int = BROADCAST_LABELS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document: doc_id, perplexity, threshold (of its language), kept."""
     flagged = _flagged(docs, labels, broadcast_labels)
     p = probabilities(counted(flagged))
     scored = staged(_by_broadcast(flagged, p) if p.count() <= broadcast_grams else _by_blocks(flagged, p, block_bytes), "perplexity")
-    limits = scored.filter("trusted AND perplexity IS NOT NULL").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
+    limits = scored.filter("trusted AND perplexity IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     out = scored.join(F.broadcast(limits), "lang", "left")
     kept = (F.col("n_chars_") > 0) & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return out.select("doc_id", "perplexity", "threshold", kept.alias("kept"))

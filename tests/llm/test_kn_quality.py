@@ -70,6 +70,12 @@ def test_keeps_good_documents(spark):
     assert n[1, True] >= 0.985 * (n[1, True] + n[1, False]) and n[0, False] > 0
 
 
+def test_rejects_bad_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    n = Counter(r["kept"] for r in op.score_documents(docs, labels).join(labels.filter("quality = 0"), "doc_id").select("kept").collect())
+    assert n[False] >= 0.92 * (n[True] + n[False])
+
+
 def test_hard_cases(spark):
     df = fx.with_extra(fx.hard(spark))
     assert op.score_documents(df, spark.createDataFrame([(7, 1, 0)], LABELS)).count() == 10
