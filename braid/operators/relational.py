@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,20 +137,26 @@ def fingerprint(steps: DataFrame, keys: list[str]) -> DataFrame:
 # ---- trees
 
 
-def descendants(edges: DataFrame, roots: DataFrame, parent: str, child: str, max_depth: int = 64) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame, parent: str, child: str, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth) below each root, level by level; a level that finds nothing new ends it.
 
+    A stated ``max_depth`` that is reached with nodes below it is an error.
+
     edges and roots are read once a level; each level joins only the frontier. Cycles end, as visited nodes drop out.
     """
     links = edges.select(F.col(parent).alias("p_"), F.col(child).alias("c_"))
     level = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node")).withColumn("depth", F.lit(0))
     seen = level
-    for d in range(1, max_depth + 1):
+    for d in count(1):
         found = level.join(links, F.col("node") == F.col("p_")).select("root", F.col("c_").alias("node"), F.lit(d).alias("depth")).distinct()
         level = staged(found.join(seen.select("root", "node"), ["root", "node"], "left_anti"), "level")
         if level.isEmpty():
             break
+        if max_depth is not None and d > max_depth:
+            raise ValueError(f"nodes lie below depth {max_depth}")
         seen = seen.unionByName(level)
+        if d % 16 == 0:  # so that plans of deep trees stay short
+            seen = staged(seen, "seen")
     return seen
 
 

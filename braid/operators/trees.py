@@ -9,7 +9,7 @@ from braid.operators.relational import descendants, earliest
 from braid.sources.staging import staged
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, parent: str, child: str, max_depth: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame, starts: DataFrame, parent: str, child: str, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth) from each start upward: the chain of its parents. Cycles end at the first repeat."""
     return descendants(edges.select(F.col(child).alias(parent), F.col(parent).alias(child)), starts, parent, child, max_depth)
 

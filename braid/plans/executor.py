@@ -10,6 +10,7 @@ the state of the spawn in one aggregation for all cohorts of the level.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,6 @@ from braid.plans.predicate import compiled
 from braid.sources.staging import staged
 
 Task = Callable[[Column], Column]
-MAX_LEVELS = 200
 
 _FRAME = "array<struct<spawn:string,ordinal:int>>"
 _STEP = "flow_id long, path string, node string, frames " + _FRAME + ", depth int, state map<string,string>, delta map<string,string>, status string"
@@ -121,17 +121,18 @@ def _folded(g: Graph, members: DataFrame, bases: DataFrame) -> DataFrame:
     return a.groupBy("flow_id", "spawn").agg(F.map_from_entries(F.collect_list("e")).alias("merged"))
 
 
-def run(graph: Graph, flows: DataFrame, tasks: dict[str, Task], max_levels: int = MAX_LEVELS) -> tuple[DataFrame, DataFrame]:
+def run(graph: Graph, flows: DataFrame, tasks: dict[str, Task], max_levels: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(outcomes, steps) of a graph for flows (flow_id, state as JSON text).
 
     outcomes: flow_id, status (completed or failed), state as JSON text, error. A node without a task changes nothing.
+    Levels run until no flow is under way; a stated ``max_levels`` that is reached before is an error.
     """
     graph.validate()
     meets, spark = graph.convergence(), flows.sparkSession
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     level = flows.select(F.col("flow_id").cast("long").alias("flow_id"), F.lit(graph.entry).alias("path"), F.lit(graph.entry).alias("node"), F.array().cast(_FRAME).alias("frames"), F.lit(1).alias("depth"), F.coalesce(st.entries(F.col("state")), empty).alias("state"))
     logs, waiting, outcomes = spark.createDataFrame([], _STEP), spark.createDataFrame([], "flow_id long, path string, node string, frames " + _FRAME + ", base map<string,string>, names array<string>"), spark.createDataFrame([], "flow_id long, status string, state map<string,string>, error string")
-    for _ in range(max_levels):
+    for at in count(1):
         delta = F
         for node, task in tasks.items():
             delta = delta.when(F.col("node") == node, task(F.col("state")))
@@ -177,5 +178,7 @@ def run(graph: Graph, flows: DataFrame, tasks: dict[str, Task], max_levels: int
         logs, outcomes = staged(logs, "log"), staged(outcomes, "outcomes")
         if level.isEmpty():
             break
+        if at == max_levels:
+            raise ValueError(f"flows are under way after {max_levels} levels")
     last = outcomes.groupBy("flow_id").agg(F.max_by(F.struct("status", "state", "error"), F.when(F.col("status") == "failed", 1).otherwise(0)).alias("o"))
     return last.select("flow_id", F.col("o.status").alias("status"), st.encode(F.col("o.state")).alias("state"), _text(F.col("o.error")).alias("error")), logs

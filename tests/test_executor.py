@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from braid.plans.executor import run
@@ -33,6 +34,13 @@ def test_reducers_meet(spark):
     assert steps.count() == 10
 
 
+def test_a_bound_with_flows_under_way_is_an_error(spark):
+    g, flows = Graph("g").chain("a", "b", "c", END), spark.createDataFrame([(1, "{}")], "flow_id long, state string")
+    with pytest.raises(ValueError, match="under way after 2 levels"):
+        run(g, flows, {}, max_levels=2)
+    assert run(g, flows, {}, max_levels=3)[0].count() == 1
+
+
 def test_for_each_keeps_order_and_fires_when_empty(spark):
     g = Graph("g").edge("a", "b", for_each="items", item="it").chain("b", "j", END).fan_in("j").reduce(n="add", out="append")
     got, _ = outcomes(spark, g, [{"items": ["x", "y", "z"], "n": 10}, {"items": []}, {}], {"b": put(n=1, out=lambda s: F.element_at(s, "it"))})

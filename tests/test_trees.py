@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from braid.operators import trees
@@ -15,6 +16,13 @@ def test_chains(spark):
     assert sorted(names["names"]) == ["a", "b"]
 
 
+def test_chains_of_over_64_levels(spark):
+    s = spark.createDataFrame([(i, i - 1, "completed") for i in range(1, 68)], "step_id long, predecessor_id long, status string").coalesce(1)
+    assert [r["forked_from"] for r in trees.fork(s, 1, {}, 100).collect()] == [1]
+    with pytest.raises(ValueError, match="below depth 2"):
+        trees.ancestors(s.limit(5), s.filter("step_id = 5").select("step_id"), "predecessor_id", "step_id", max_depth=2)
+
+
 def test_fork(spark):
     s = spark.createDataFrame([(10, 0, "completed", "x"), (11, 10, "completed", "y"), (12, 11, "completed", "z"), (13, 10, "failed", "w")], "step_id long, predecessor_id long, status string, state string")
     got = {r["forked_from"]: (r["step_id"], r["predecessor_id"], r["status"], r["state"]) for r in trees.fork(s, 11, {"state": "new"}, 100).collect()}
