@@ -138,6 +138,14 @@ def for_each_words(spark, sf_dir):
     return rt.for_each(rows, F.col("ws"), "word").filter("wordIndex < 5").select("doc_id", "wordIndex", "wordCount", "word")
 
 
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents) SELECT doc_id, CAST(i - 1 AS INT) AS "wordIndex", CAST(len(ws) AS INT) AS "wordCount", ws[i] AS word
+ FROM w, unnest(range(1, len(ws) + 1)) AS t(i)""")
+def for_each_all_words(spark, sf_dir):
+    """All branches of all documents."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("ws"))
+    return rt.for_each(rows, F.col("ws"), "word").select("doc_id", "wordIndex", "wordCount", "word")
+
+
 @query("""SELECT CASE WHEN event_type = 'error' THEN 'handler' ELSE 'next' END AS target, count(*) AS n, count(v) AS kept FROM (SELECT event_type, CASE WHEN event_type <> 'error' THEN value END AS v FROM events) GROUP BY 1""")
 def error_routing(spark, sf_dir):
     """A failed task's changes are void and its flow goes to the handler."""
