@@ -192,18 +192,20 @@ def fit(docs: DataFrame, train: Column | None = None, train_bytes: int = TRAIN_B
     rows = docs.filter((F.lit(True) if train is None else train) & F.col("lang").isNotNull() & (F.length("text") > 0))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    share = F
-    for lang, n in sizes.items():
-        share = share.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * train_bytes / n)))
-    if not sizes:
-        return Model({})
-    some = rows.filter(place < share.otherwise(F.lit(0.0)) * (1 << 20)).select("lang", "text", place.alias("p"), F.xxhash64("doc_id", "text").alias("q"))
-    texts: dict[str, list[str]] = {k: [] for k in sizes}
-    held = dict.fromkeys(sizes, 0)
-    for r in sorted(some.collect(), key=lambda r: (r["p"], r["q"])):
-        if held[r["lang"]] < train_bytes:
-            texts[r["lang"]].append(r["text"])
-            held[r["lang"]] += len(r["text"].encode())
+    texts: dict[str, list[str]] = {}
+    shares = {lang: min(1.0, 2.0 * train_bytes / n) for lang, n in sizes.items()}
+    while shares:  # the rows of least hash up to train_bytes; a language whose share had fewer bytes is drawn anew
+        share = F
+        for lang, x in shares.items():
+            share = share.when(F.col("lang") == lang, F.lit(x))
+        some = rows.filter(place < share.otherwise(F.lit(0.0)) * (1 << 20)).select("lang", "text", place.alias("p"), F.xxhash64("doc_id", "text").alias("q"))
+        texts |= {k: [] for k in shares}
+        held = dict.fromkeys(shares, 0)
+        for r in sorted(some.collect(), key=lambda r: (r["p"], r["q"])):
+            if held[r["lang"]] < train_bytes:
+                texts[r["lang"]].append(r["text"])
+                held[r["lang"]] += len(r["text"].encode())
+        shares = {k: min(1.0, 2 * x) for k, x in shares.items() if x < 1 and held[k] < train_bytes}
     return Model({k: Tree(x) for k, x in texts.items() if x})
 
 

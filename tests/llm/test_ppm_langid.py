@@ -53,6 +53,13 @@ def test_held_out(spark):
     assert right >= 0.97 * len(got) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_a_language_of_few_long_documents_is_learned(spark):
+    long = [(i, f"der lange text nummer {i} " * 400, "de", "s") for i in range(3)]
+    docs = fx.docs(spark, [*long, *[(10 + i, f"a short text number {i}", "en", "s") for i in range(50)]])
+    m = op.fit(docs, train_bytes=200)
+    assert m.langs == ["de", "en"]
+
+
 def test_hard_cases(spark):
     df = fx.with_extra(fx.hard(spark))
     m = op.fit(df)
