@@ -6,6 +6,7 @@
 3. Linear grouping: lengths above ``capacity / small_part`` are sorted and dealt into groups of equal cardinality, each
    rounded up to its longest. A linear program over configurations (which groups share a sequence) is solved by column
    generation; its solution is rounded down. Actual lengths take the places of the rounded ones, longest first.
+   Sequences that are then short by more than a limit (the best of ``SLACKS``) are taken apart again.
 4. What is left of the large pieces and all small ones go, longest first, where they fit best: into the sequence with
    the least sufficient room, or a new one.
 5. All of that is run-length coded: a plan row says that the pieces of one length with ranks from r to r+n-1 go to
@@ -41,10 +42,13 @@ from braid.llm.common import staged
 CAPACITY = 1024
 END_ID = 2
 #: Groups of the linear grouping; lengths up to CAPACITY / SMALL_PART are small.
-GROUPS = 256
+GROUPS = 128
 SMALL_PART = 8
 #: The linear program stops within this share of its optimum.
-GAP = 0.005
+GAP = 0.02
+#: Sequences that substitution leaves with more room than this are taken apart again, and their pieces go to the best fit;
+#: of no limit and these the one that gives the fewest sequences is taken, of equal ones the first.
+SLACKS = (8, 4, 2, 1, 0)
 BUCKETS = 4096
 #: Chunks in a worker's memo; it starts anew when full.
 MEMO = 60_000
@@ -130,19 +134,21 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, with
 
 
 class Bins:
-    """``count`` sequences with equal contents; slots are (length, first rank, offset)."""
+    """``count`` sequences with equal contents: ``lengths`` one after another."""
 
-    __slots__ = ("count", "room", "slots")
+    __slots__ = ("count", "room", "lengths")
 
-    def __init__(self, count: int, room: int, slots: list[tuple[int, int, int]]):
-        self.count, self.room, self.slots = count, room, slots
+    def __init__(self, count: int, room: int, lengths: tuple[int, ...] = ()):
+        self.count, self.room, self.lengths = count, room, lengths
 
     def split(self, n: int) -> Bins:
         """The first n sequences; self keeps the others."""
-        head = Bins(n, self.room, list(self.slots))
-        self.slots = [(s, r + n, o) for s, r, o in self.slots]
         self.count -= n
-        return head
+        return Bins(n, self.room, self.lengths)
+
+    def add(self, length: int, copies: int = 1) -> None:
+        self.lengths += (length,) * copies
+        self.room -= length * copies
 
 
 def groups_of(hist: dict[int, int], least: int, k: int) -> list[list[int]]:
@@ -158,6 +164,26 @@ def groups_of(hist: dict[int, int], least: int, k: int) -> list[list[int]]:
     return out
 
 
+def inverted(m: np.ndarray) -> np.ndarray:
+    """The inverse by elimination, element by element.
+
+    The plan is made in the driver, where threaded linear algebra can wait for ever on threads that were lost when the
+    JVM was forked off, so nothing here calls it.
+    """
+    k = len(m)
+    a = np.concatenate([m, np.eye(k)], axis=1)
+    for j in range(k):
+        i = j + int(np.abs(a[j:, j]).argmax())
+        if i != j:
+            a[[i, j]] = a[[j, i]]
+        a[j] /= a[j, j]
+        rest = a[:, j].copy()
+        rest[j] = 0
+        hit = np.nonzero(rest)[0]
+        a[hit] -= rest[hit, None] * a[j]
+    return a[:, k:]
+
+
 def configurations(sizes: list[int], demand: list[int], capacity: int, gap: float = GAP) -> list[tuple[np.ndarray, float]]:
     """(copies of each size, how many) of a linear program that covers the demand with the fewest sequences.
 
@@ -167,8 +193,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, gap: floa
     """
     k, s, need = len(sizes), np.array(sizes), np.array(demand, float)
     basis = np.diag([capacity // x for x in sizes]).astype(float)
-    inverse = np.linalg.inv(basis)
-    amount = inverse @ need
+    inverse = np.diag(1 / basis.diagonal())
+    amount = need / basis.diagonal()
     first = np.searchsorted(-s, -np.arange(capacity + 1))  # sizes from there on fit
     for step in range(50 * k):
         value = inverse.sum(axis=0)
@@ -189,15 +215,16 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, gap: floa
             else:
                 column[took[c]] += 1
                 c -= sizes[took[c]]
-        move = inverse @ column
+        used = np.nonzero(column)[0]
+        move = (inverse[:, used] * column[used]).sum(axis=1)
         ratio = np.divide(amount, move, out=np.full(k, np.inf), where=move > 1e-9)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
         basis[:, out] = column
         if step % 64 == 63:
-            inverse = np.linalg.inv(basis)
-            amount = np.maximum(inverse @ need, 0)
+            inverse = inverted(basis)
+            amount = np.maximum((inverse * need).sum(axis=1), 0)
         else:
             row = inverse[out] / move[out]
             inverse -= np.outer(move, row)
@@ -208,60 +235,76 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, gap: floa
     return [(basis[:, j].astype(int), float(amount[j])) for j in range(k)]
 
 
-def plan(hist: dict[int, int], capacity: int = CAPACITY, k: int = GROUPS, small_part: int = SMALL_PART) -> list[tuple[int, int, int, int, int]]:
-    """Rows (length, first rank, number, first sequence, offset) that place every piece; ranks of a length run from 0."""
-    done: list[Bins] = []
-    opened: dict[int, list[Bins]] = {}
-    used = dict.fromkeys(hist, 0)
-    groups = groups_of(hist, capacity // small_part, k)
+def substituted(hist: dict[int, int], capacity: int, k: int, small_part: int) -> list[Bins]:
+    """Sequences by the rounded-down linear program, with actual lengths in the places of the rounded ones."""
+    groups, out = groups_of(hist, capacity // small_part, k), []
+    if not groups:
+        return out
+    runs = [[[s, hist[s]] for s in g] for g in groups]
+    for copies, x in configurations([g[0] for g in groups], [sum(hist[s] for s in g) for g in groups], capacity):
+        count = min([int(x + 1e-6), *(sum(n for _, n in runs[g]) // c for g, c in enumerate(copies) if c)])
+        whole = [Bins(count, capacity)] if count else []
+        for g in (g for g, c in enumerate(copies) for _ in range(c)):
+            parts = []
+            for b in whole:  # in each slot the next ones of the group, longest first
+                while b.count:
+                    head = b.split(min(runs[g][0][1], b.count))
+                    head.add(runs[g][0][0])
+                    runs[g][0][1] -= head.count
+                    if not runs[g][0][1]:
+                        runs[g].pop(0)
+                    parts.append(head)
+            whole = parts
+        out += whole
+    return out
+
+
+def best_fitted(hist: dict[int, int], kept: list[Bins], capacity: int) -> list[Bins]:
+    """``kept`` and the other pieces of ``hist``, longest first, each where the least sufficient room is."""
+    left, opened, done, rooms = dict(hist), [[] for _ in range(capacity + 1)], [], 0
 
     def keep(b: Bins) -> None:
-        if b.count:
-            (opened.setdefault(b.room, []) if b.room else done).append(b)
-
-    if groups:
-        runs = [[[s, hist[s]] for s in g] for g in groups]
-        for copies, x in configurations([g[0] for g in groups], [sum(hist[s] for s in g) for g in groups], capacity):
-            count = int(x + 1e-6)
-            count = min([count, *(sum(n for _, n in runs[g]) // c for g, c in enumerate(copies) if c)])
-            whole = [Bins(count, capacity, [])] if count else []
-            for g in (g for g, c in enumerate(copies) for _ in range(c)):
-                parts = []
-                for b in whole:  # in each slot the next ones of the group, longest first
-                    while b.count:
-                        s, n = runs[g][0]
-                        head = b.split(min(n, b.count))
-                        head.slots.append((s, used[s], capacity - head.room))
-                        head.room -= s
-                        used[s] += head.count
-                        runs[g][0][1] -= head.count
-                        if not runs[g][0][1]:
-                            runs[g].pop(0)
-                        parts.append(head)
-                whole = parts
-            for b in whole:
-                keep(b)
-    for s in sorted(hist, reverse=True):
-        left = hist[s] - used[s]
-        while left:
-            room = next((r for r in range(s, capacity) if opened.get(r)), 0)
-            if room:
+        nonlocal rooms
+        if b.count and b.room:
+            opened[b.room].append(b)
+            rooms |= 1 << b.room  # a bit for each room that some sequence has
+        elif b.count:
+            done.append(b)
+
+    for b in kept:
+        for s in b.lengths:
+            left[s] -= b.count
+        keep(Bins(b.count, b.room, b.lengths))
+    for s in sorted(left, reverse=True):
+        while left[s]:
+            if fit := rooms >> s:
+                room = s + (fit & -fit).bit_length() - 1
                 b = opened[room].pop()
-                each = min(room // s, left)
-                head = b.split(min(b.count, left // each))
+                if not opened[room]:
+                    rooms ^= 1 << room
+                each = min(room // s, left[s])
+                head = b.split(min(b.count, left[s] // each))
                 keep(b)
             else:
-                each = min(capacity // s, left)
-                head = Bins(left // each, capacity, [])
-            for _ in range(each):
-                head.slots.append((s, used[s], capacity - head.room))
-                head.room -= s
-                used[s] += head.count
-                left -= head.count
+                each = min(capacity // s, left[s])
+                head = Bins(left[s] // each, capacity)
+            head.add(s, each)
+            left[s] -= each * head.count
             keep(head)
-    rows, base = [], 0
-    for b in [*done, *(x for r in sorted(opened) for x in opened[r])]:
-        rows += [(s, r, b.count, base, o) for s, r, o in b.slots]
+    return done + [b for bs in opened for b in bs]
+
+
+def plan(hist: dict[int, int], capacity: int = CAPACITY, k: int = GROUPS, small_part: int = SMALL_PART) -> list[tuple[int, int, int, int, int]]:
+    """Rows (length, first rank, number, first sequence, offset) that place every piece; ranks of a length run from 0."""
+    configured = substituted(hist, capacity, k, small_part)
+    each = [best_fitted(hist, [b for b in configured if b.room <= slack], capacity) for slack in (capacity, *SLACKS)]
+    rows, base, used = [], 0, dict.fromkeys(hist, 0)
+    for b in min(each, key=lambda bins: sum(b.count for b in bins)):
+        offset = 0
+        for s in b.lengths:
+            rows.append((s, used[s], b.count, base, offset))
+            used[s] += b.count
+            offset += s
         base += b.count
     return sorted(rows)
 

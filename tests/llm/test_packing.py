@@ -1,5 +1,6 @@
 import random
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
@@ -50,6 +51,22 @@ def test_plan(kind):
         least = max(-(-sum(s * c for s, c in hist.items()) // 1024), sum(c for s, c in hist.items() if s > 512))
         allowed = {"uniform": 1.02, "short": 1.02, "third": 1.1, "few": 1.1, "one": 1.2, "large": 1.0}[kind] * least + 2
         assert len(bins) <= allowed
+        assert len(bins) <= 1.001 * plain_best_fit(hist) + 1
+
+
+def plain_best_fit(hist):
+    """Number of sequences when single pieces, longest first, go where the least room is enough."""
+    rooms = []
+    for s in sorted((s for s, c in hist.items() for _ in range(c)), reverse=True):
+        at = bisect_left(rooms, s)
+        room = rooms.pop(at) if at < len(rooms) else 1024
+        insort(rooms, room - s)
+    return len(rooms)
+
+
+def test_inverted():
+    m = np.random.default_rng(3).integers(0, 4, (30, 30)).astype(float) + np.eye(30)
+    assert np.allclose(op.inverted(m) @ m, np.eye(30))
 
 
 def test_pack(spark):
