@@ -3,7 +3,7 @@
 from pyspark.sql import types as T
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
-EXTRA = ["n", "h", "host", "tkey", "bucket_", "length", "count"]
+EXTRA = ["n", "h", "host", "TKEY", "bucket_", "length", "count", "row", "key", "node", "root", "rep_", "k_", "bad_", "source_", "shift", "lang_"]
 
 
 def docs(spark, rows):

@@ -49,14 +49,33 @@ def test_equals_brute_force(spark):
     got = {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in op.find_leaks(df, bench(spark, items)).collect()}
     want = {d: brute(t, items) for d, t in rows}
     assert got == want and 20 < sum(map(bool, want.values())) < 120
-    in_blocks = {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in op.find_leaks(df, bench(spark, items), block_bytes=800).collect()}
-    assert in_blocks == want
-    assert {r["doc_id"] for r in op.clean_documents(df, bench(spark, items), block_bytes=800).collect()} == {d for d, x in want.items() if not x}
+    # a filter that lets everything through and shuffled joins change nothing
+    for more in ({"filter_bits": 64}, {"broadcast_rows": 0}):
+        assert {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in op.find_leaks(df, bench(spark, items), **more).collect()} == want
+    assert {r["doc_id"] for r in op.clean_documents(df, bench(spark, items), broadcast_rows=0).collect()} == {d for d, x in want.items() if not x}
+
+
+def test_spans():
+    code = op.Coder()
+    its = code(" ".join(f"i{k}" for k in range(30)))
+    text = " ".join(["x", "y", *[f"i{k}" for k in range(3, 20)], "z"])
+    assert op.overlaps(code(text), its, -1) == [(2 - 2, 19 + 1, 17)] and op.overlaps(code(text), its, 4) == []
+    repeated = code(" ".join([f"i{k}" for k in range(30)] * 2))
+    assert op.overlaps(repeated, its, 30) == [(30, 60, 30)]
+
+
+def test_copies_and_repeated_ids(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    rows = [(1, "before " + item)] * 3 + [(None, "before " + item), (1, "clean words only here"), (2, item + " " + item)]
+    got = op.find_leaks(fx.docs(spark, rows), bench(spark, [(5, item), (5, item), (None, item)])).collect()
+    assert sorted((r["doc_id"] or 0, r["contaminated"], len(r["leaks"])) for r in got) == [(0, True, 2), (1, False, 0)] + [(1, True, 2)] * 3 + [(2, True, 4)]
 
 
 def test_hard_cases(spark):
     df = fx.with_extra(fx.hard(spark))
     items = bench(spark, [(1, "same text twice same text twice and more")])
-    assert op.find_leaks(df, items).count() == 10 and op.clean_documents(df, items).columns == df.columns
+    assert op.find_leaks(df, items).count() == 10
+    kept = op.clean_documents(df, items)
+    assert kept.columns == df.columns and all(r[c] == "clash" for r in kept.collect() for c in fx.EXTRA)
     assert op.clean_documents(df, items.limit(0)).count() == 10
     assert op.find_leaks(df.limit(0), items).count() == 0 and op.clean_documents(df.limit(0), items).count() == 0
