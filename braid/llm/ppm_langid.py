@@ -8,8 +8,10 @@ has probability c / (n + d) and the escape d / (n + d). The language with the le
 The trees are laid out as tables, so that the code lengths of all bytes and languages are gathered at once: a table of the
 known 3-byte strings, one of the known 4-byte strings, and the escape costs of their contexts.
 
-Learning: from ``TRAIN_BYTES`` of text of each language at most, whole texts, taken in order of a hash of doc_id among the
-rows that are admitted and have a language. Scoring covers all rows and whole texts and uses the text alone.
+Learning: whole different texts of each language, in order of a hash of the text, until they have ``TRAIN_BYTES``, among
+the rows that are admitted and have a language; so every such language is learned, from one text at least, whatever the
+rows' ids. Rows of small hash are drawn first, and more only where these held too little; no more than the texts taken
+reach the driver. Scoring covers all rows and whole texts and uses the text alone.
 
 Scale: the model is a few MB whatever the corpus; documents are scored where they are, without a shuffle; a worker holds
 ``CHUNK`` bytes of text and their costs at once (a longer text is summed chunk by chunk).
@@ -25,7 +27,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 3
@@ -189,23 +191,20 @@ def bucket(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, train: Column | None = None, train_bytes: int = TRAIN_BYTES) -> Model:
     """A model of the languages of the rows that ``train`` admits, by default all."""
-    rows = docs.filter((F.lit(True) if train is None else train) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    rows = docs.filter((F.lit(True) if train is None else train) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("text").alias("hash"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    texts: dict[str, list[str]] = {}
+    place, texts = F.pmod("hash", F.lit(1 << 20)), {}
     shares = {lang: min(1.0, 2.0 * train_bytes / n) for lang, n in sizes.items()}
-    while shares:  # the rows of least hash up to train_bytes; a language whose share had fewer bytes is drawn anew
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("place", "hash").rowsBetween(Window.unboundedPreceding, -1))
+    while shares:  # the texts of least hash up to train_bytes; a language whose share had fewer bytes is drawn anew
         share = F
         for lang, x in shares.items():
             share = share.when(F.col("lang") == lang, F.lit(x))
-        some = rows.filter(place < share.otherwise(F.lit(0.0)) * (1 << 20)).select("lang", "text", place.alias("p"), F.xxhash64("doc_id", "text").alias("q"))
+        some = rows.filter(place < share.otherwise(F.lit(0.0)) * (1 << 20)).groupBy("lang", place.alias("place"), "hash").agg(F.min("text").alias("text"))
         texts |= {k: [] for k in shares}
-        held = dict.fromkeys(shares, 0)
-        for r in sorted(some.collect(), key=lambda r: (r["p"], r["q"])):
-            if held[r["lang"]] < train_bytes:
-                texts[r["lang"]].append(r["text"])
-                held[r["lang"]] += len(r["text"].encode())
-        shares = {k: min(1.0, 2 * x) for k, x in shares.items() if x < 1 and held[k] < train_bytes}
+        for r in some.withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < train_bytes).select("lang", "text").collect():
+            texts[r["lang"]].append(r["text"])
+        shares = {k: min(1.0, 4 * x) for k, x in shares.items() if x < 1 and sum(len(t.encode()) for t in texts[k]) < train_bytes}
     return Model({k: Tree(x) for k, x in texts.items() if x})
 
 

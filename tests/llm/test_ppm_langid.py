@@ -60,6 +60,21 @@ def test_a_language_of_few_long_documents_is_learned(spark):
     assert m.langs == ["de", "en"]
 
 
+def test_ids_do_not_matter_and_bytes_are_bounded(spark):
+    rows = [(None, f"a short english text number {i}", "en", "s") for i in range(3000)] + [(7, f"ein langer deutscher text {i} " * 300, "de", "s") for i in range(6)]
+    rows += [(None, "toujours le même texte en français", "fr", "s")] * 3000  # copies teach once
+    docs, taken = fx.docs(spark, rows), {}
+    tree = op.Tree
+    op.Tree = lambda texts: taken.setdefault(texts[0], texts) and tree(texts)
+    try:
+        m = op.fit(docs, train_bytes=2000)
+    finally:
+        op.Tree = tree
+    assert m.langs == ["de", "en", "fr"] and sorted(map(len, taken.values()))[:2] == [1, 1]
+    assert all(sum(map(len, x[:-1])) < 2000 for x in taken.values())
+    assert m.predict(["der deutsche text", "the english text", "le même texte"])[0] == ["de", "en", "fr"]
+
+
 def test_hard_cases(spark):
     df = fx.with_extra(fx.hard(spark))
     m = op.fit(df)
