@@ -10,7 +10,7 @@ The frequent lines number ``lines / MIN_DOCS`` at most, as each is in so many do
 
 Defined results: null text has no lines and no words (base_failed); empty text likewise; null host is a host of its own;
 repeated rows get equal verdicts and count once; an empty table gives an empty result; further columns pass through
-``clean_documents`` and are ignored by ``score_documents``. A document without words is not depleted.
+``clean_documents``, whatever their names, and are ignored by ``score_documents``. A document without words is not depleted.
 """
 
 from __future__ import annotations
@@ -84,11 +84,15 @@ def base_counts(text: Column) -> dict[str, Column]:
     }
 
 
+def _text_key() -> Column:
+    return F.xxhash64("text", F.length("text"))
+
+
 def _slim(docs: DataFrame) -> DataFrame:
     """doc_id, host, text key, base counts and the hash and words of each line; staged."""
     lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.size(words_of(x)).alias("n")))
-    return staged(docs.select("doc_id", F.col("source").alias("host"), F.xxhash64("text", F.length("text")).alias("tkey"), *[c.alias(k) for k, c in base_counts(F.col("text")).items()], hashed.alias("lines")), "lines")
+    return staged(docs.select("doc_id", F.col("source").alias("host"), _text_key().alias("tkey"), *[c.alias(k) for k, c in base_counts(F.col("text")).items()], hashed.alias("lines")), "lines")
 
 
 def frequent_lines(slim: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -137,11 +141,13 @@ def score_documents(docs: DataFrame, min_docs: int = MIN_DOCS, least_left: float
 
 def clean_documents(docs: DataFrame, min_docs: int = MIN_DOCS, least_left: float = LEAST_LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The kept documents in their own columns, their text without the lines above the limit (n_chars follows)."""
-    own = docs.columns
     judged = _verdicts(docs, min_docs, least_left, broadcast_lines)
-    kept = judged.filter("kept").groupBy(F.col("host").alias("source_"), F.col("tkey").alias("tkey_")).agg(F.first("bad").alias("bad_"))
-    keyed = docs.withColumn("tkey", F.xxhash64("text", F.length("text")))
-    out = keyed.join(kept, _same(keyed, kept, ["source", "tkey"]))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("bad_"), F.xxhash64(normalised(x)))), "\n")
-    out = out.withColumn("text", F.when(F.col("bad_").isNull(), F.col("text")).otherwise(left))
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in own else out).select(*own)
+    kept = judged.filter("kept").groupBy(F.col("host").alias("host_"), F.col("tkey").alias("tkey_")).agg(F.first("bad").alias("bad"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("source").alias("host"), _text_key().alias("tkey"))  # a row's own columns cannot clash in its struct
+    out = keyed.join(kept, _same(keyed, kept, ["host", "tkey"]))
+    left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains(F.col("bad"), F.xxhash64(normalised(x)))), "\n")
+    out = out.select("row", F.when(F.col("bad").isNull(), F.col("row.text")).otherwise(left).alias("text"))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(row.alias("row")).select("row.*")

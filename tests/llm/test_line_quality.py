@@ -31,12 +31,13 @@ def corpus(spark):
 
 
 def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
-    df = fx.with_extra(corpus(spark)).drop("host", "tkey", "h", "n", "length", "count", "bucket_")
+    df = fx.with_extra(corpus(spark))
     got = {r["doc_id"]: r for r in op.score_documents(df).collect()}
     assert all(got[i]["kept"] and got[i]["removed_words"] == 60 for i in range(60))
     assert all(not got[100 + i]["kept"] and got[100 + i]["removed_lines"] == 12 and not got[100 + i]["base_failed"] for i in range(3))
     assert all(got[200 + i]["kept"] and got[200 + i]["removed_words"] == 0 for i in range(40))
-    clean = {r["doc_id"]: r for r in op.clean_documents(corpus(spark)).collect()}
+    clean = {r["doc_id"]: r for r in op.clean_documents(df).collect()}
+    assert op.clean_documents(df).columns == df.columns and all(r[c] == "clash" for r in clean.values() for c in fx.EXTRA)
     assert sorted(clean) == sorted([*range(60), *range(200, 240)])
     assert "shop" not in clean[5]["text"] and clean[5]["n_chars"] == len(clean[5]["text"])
     assert clean[200]["text"].startswith("w999x0x0")
