@@ -19,12 +19,15 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    It is the one that the session names in ``spark.checkpoint.dir``; only where that is unset (local tests)
-    a folder of our own is made and set, and removed when the process ends.
+    It is the one that the session names in ``spark.checkpoint.dir``. Where that is unset and driver and executors are one
+    process (local tests), a folder of our own is made and set, and removed when the process ends; on a cluster it must
+    be set.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         path = tempfile.mkdtemp(prefix="braid-")

@@ -307,9 +307,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, size: i
     n = np.array([r["n"] * known[r["y"]] / total[r["y"]] for r in seen]) * (sum(total.values()) / sum(known.values()))
     w = prior = np.array([BIAS, *PRIOR.values()])
     for _ in range(100):  # Newton steps on the penalised likelihood
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        slope = x.T @ (n * (p - y)) + FIRM * (w - prior)
-        bend = (x.T * (n * np.maximum(p * (1 - p), 1e-9))) @ x + FIRM * np.eye(len(w))
+        # sums without threaded algebra, which can wait for ever beside the JVM
+        p = 1 / (1 + np.exp(-np.clip((x * w).sum(axis=1), -50, 50)))
+        slope = np.einsum("ij,i->j", x, n * (p - y)) + FIRM * (w - prior)
+        bend = np.einsum("ij,i,ik->jk", x, n * np.maximum(p * (1 - p), 1e-9), x) + FIRM * np.eye(len(w))
         step = np.linalg.solve(bend, slope)
         w = w - np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
