@@ -5,8 +5,10 @@ Documents are sets of five-word shingles; a link joins two documents whose sets
 1. Documents with equal sets form one node (copies need no comparison). A node has 64 min-hash coordinates.
 2. Chosen paths: all nodes start at the root of each run. At a tree node every coordinate is sampled with probability
    1 / (similarity * coordinates), the same for all that are there, and splits them by its value. Buckets of up to
-   ``LIMIT`` are leaves; larger ones are split again, up to ``DEPTH`` levels; what is still large then is compared in
-   blocks, so that no bucket is capped. As many runs are made as the target recall asks for at that depth.
+   ``LIMIT`` are leaves; larger ones are split again, ``DEPTH`` levels and more (with each path forked, which keeps the
+   recall) as long as the pairs in large buckets are too many and splitting makes them fewer; what is still large then is
+   alike throughout and compared in blocks, so that no bucket is capped. As many runs are made as the target recall asks
+   for at ``DEPTH`` levels.
 3. Leaves are compared by brute force on the coordinates (estimated similarity within four standard errors of 0.8 or
    above), which gives each connected node of a leaf an edge to the least one, never all pairs.
 4. The connected components of these are candidate clusters. Only their sets are made again, sent once to their cluster,
@@ -20,7 +22,7 @@ over tasks of at most ``BLOCK`` by ``BLOCK``.
 Words are runs of bytes other than ASCII white space, compared as they are. Defined results: texts without words (null,
 empty, blank) link to nothing and are classes of their own; texts of one to four words have one shingle, all of them;
 repeated rows and copies are links of each other; null doc_id is allowed; an empty table gives an empty result; further
-columns are ignored.
+columns are ignored by ``link_documents`` and pass through ``distinct_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,6 +44,11 @@ LIMIT = 64
 DEPTH = 3
 RECALL = 0.99
 BLOCK = 256
+#: Beyond DEPTH levels large buckets are split again, each path in two, while brute force over them would compare more
+#: than this number of pairs for each node of the table and a further level still made it less.
+COMPARES = 2_000
+HOT_KEYS = 1000
+BROADCAST_ROWS = 500_000
 SEED = 0x5EED
 MEMO = 400_000
 
@@ -134,8 +141,8 @@ def _table(sketches) -> np.ndarray:
 # ---------------------------------------------------------------- chosen paths
 
 
-def _children(rows: DataFrame, similarity: float, runs: int | None = None) -> DataFrame:
-    """(path, node) one level below ``rows`` (node, sketch, path), or below the roots of ``runs``."""
+def _children(rows: DataFrame, similarity: float, runs: int | None = None, forks: int = 1) -> DataFrame:
+    """(path, node) one level below ``rows`` (node, sketch, path), or below the roots of ``runs``; each path ``forks`` times."""
 
     def run(batches):
         for pdf in batches:
@@ -145,7 +152,7 @@ def _children(rows: DataFrame, similarity: float, runs: int | None = None) -> Da
             k = t.shape[1]
             below = U(int(2**64 / (similarity * k)))
             each = mix(np.arange(1, k + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-            paths = [pdf["path"].to_numpy().view(U)] if runs is None else [np.full(len(pdf), mix(np.array([r + 1], U))[0]) for r in range(runs)]
+            paths = [pdf["path"].to_numpy().view(U) + U(f) * U(0xA24BAED4963EE407) for f in range(forks)] if runs is None else [np.full(len(pdf), mix(np.array([r + 1], U))[0]) for r in range(runs)]
             for p in paths:
                 for at in range(0, len(p), 4096):
                     q = mix(p[at : at + 4096, None] ^ each)
@@ -247,17 +254,22 @@ def _leaf_edges(rows: DataFrame, least: float) -> DataFrame:
     return _grouped(rows, keys, ["node", "own_", "sketch"]).mapInPandas(run, "u long, v long")
 
 
-def candidate_edges(nodes: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, depth: int = DEPTH, limit: int = LIMIT) -> DataFrame:
+def candidate_edges(nodes: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, depth: int = DEPTH, limit: int = LIMIT, compares: int = COMPARES) -> DataFrame:
     """(u, v) edges whose components hold every linked pair with the target recall; nodes: (node, sketch), staged."""
     least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
-    level, edges = staged(_children(nodes, similarity, runs_for(recall, depth, similarity, COORDINATES)), "paths"), []
-    for d in range(1, depth + 1):
+    level, edges, total, before, d = staged(_children(nodes, similarity, runs_for(recall, depth, similarity, COORDINATES)), "paths"), [], nodes.count(), math.inf, 1
+    while True:
         counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         sized = staged(level.join(counts, "path"), "buckets")
-        leaf = sized if d == depth else sized.filter(F.col("size") <= limit)
+        large = sized.filter(F.col("size") > limit)
+        pairs = (large.agg(F.sum("size")).first()[0] or 0) / 2 if d >= depth else math.inf
+        last = d >= depth and (pairs <= compares * total or pairs > 0.7 * before)
+        leaf = sized if last else sized.filter(F.col("size") <= limit)
         edges.append(_leaf_edges(_blocks(leaf.join(nodes, "node"), "path", "size", BLOCK), least))
-        if d < depth:
-            level = staged(_children(sized.filter(F.col("size") > limit).join(nodes, "node"), similarity), "paths")
+        if last:
+            break
+        level = staged(_children(large.join(nodes, "node"), similarity, forks=1 if d < depth else 2), "paths")
+        before, d = pairs, d + 1
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -343,11 +355,28 @@ def _links(rows: DataFrame, similarity: float) -> DataFrame:
     return _grouped(rows, keys, ["node", "own_", "copies", "text"]).mapInPandas(run, "u long, v long, links long")
 
 
+def _attached(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has a row for each key and the number ``n_`` of its rows among ``total``.
+
+    Fewer than ``HOT_KEYS`` keys can hold more than a share of 1 / HOT_KEYS of the rows: those are broadcast, so that no
+    hot key meets in one task. Rows without a key meet nothing and are not shuffled.
+    """
+    hot = F.broadcast(table.filter(F.col("n_") * HOT_KEYS > total).withColumn("hot_", F.lit(True)))
+    rest = table.filter(F.col("n_") * HOT_KEYS <= total).withColumn("hot_", F.lit(False))
+    met = rows.filter(F.col(key).isNotNull()).join(hot, key, "left")
+    plain = met.filter(F.col("hot_").isNull()).select(*rows.columns).join(rest, key, "left")
+    out = met.filter("hot_").unionByName(plain).unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+    return out.drop("n_", "hot_")
+
+
 def _members(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """doc_id, tkey, node, root, n_links of every document; staged. root is null without links or copies."""
+    """doc_id, tkey, class_id, rep (doc_id and tkey of the first of its class), n_links of every document.
+
+    All but doc_id and tkey is null without links or copies.
+    """
     described = _described(docs)
     worded = described.filter(F.col("node").isNotNull())
-    nodes = staged(worded.groupBy("node").agg(F.min(F.struct("doc_id", "tkey")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch")), "nodes")
+    nodes = staged(worded.groupBy("node").agg(F.min(F.struct("doc_id", "tkey")).alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch")), "nodes")
     near = components(candidate_edges(nodes.select("node", "sketch"), similarity, recall))
     sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     wanted = near.join(sizes, "root").join(nodes.select("node", "rep", "copies"), "node").select("node", F.col("root").alias("cluster"), "size", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("tkey"))
@@ -356,30 +385,33 @@ def _members(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
     exact = staged(_links(_blocks(found, "cluster", "size", BLOCK), similarity), "links")
     roots = components(exact.filter(F.col("v").isNotNull()).select("u", "v"))
     counts = exact.filter(F.col("v").isNull()).groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    named = nodes.select("node", "copies").join(roots, "node", "left").join(counts, "node", "left")
-    named = named.select("node", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = named.filter("n_links > 0")
-    return staged(described.select("doc_id", "tkey", "node").join(linked, "node", "left"), "members")
+    named = nodes.select("node", "rep", "least", "copies").join(roots, "node", "left").join(counts, "node", "left")
+    named = named.select("node", F.coalesce("root", "node").alias("root"), "rep", "least", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = staged(named.filter("n_links > 0"), "linked")
+    classes = linked.groupBy("root").agg(F.min("rep").alias("rep"), F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n_"))
+    classed = _attached(linked.select("node", "root", "n_links", "copies"), classes, "root", linked.count())
+    classed = staged(classed.select("node", "class_id", "rep", "n_links", F.col("copies").alias("n_")), "classes")
+    return _attached(described.select("doc_id", "tkey", "node"), classed, "node", described.count()).drop("node")
 
 
 def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row for each document: doc_id, class_id (the least doc_id of its class), n_links (documents it links to)."""
-    members = _members(docs, similarity, recall)
-    least = members.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    out = members.join(least, "root", "left")
-    return out.select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = F.col("n_links").isNotNull()
+    return _members(docs, similarity, recall).select("doc_id", F.when(linked, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The documents in their own columns, one of each class: the one with the least (doc_id, hash of its text)."""
-    own = docs.columns
-    members = _members(docs, similarity, recall)
-    reps = members.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "tkey")).alias("rep"))
-    goes = members.filter(F.col("root").isNotNull()).join(reps, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("tkey") == F.col("rep.tkey"))))
-    goes = goes.select(F.col("doc_id").alias("d_"), F.col("tkey").alias("t_")).distinct()
-    stays = reps.select(F.col("rep.doc_id").alias("r_"), F.col("rep.tkey").alias("s_"), F.lit(True).alias("rep_"))
-    keyed = docs.withColumn("k_", F.xxhash64("text"))
-    kept = keyed.join(goes, keyed["doc_id"].eqNullSafe(goes["d_"]) & (keyed["k_"] == goes["t_"]), "left_anti")
-    marked = kept.join(stays, kept["doc_id"].eqNullSafe(stays["r_"]) & (kept["k_"] == stays["s_"]), "left")
-    single = marked.filter(F.col("rep_").isNull()).select(*own)
-    return single.unionByName(marked.filter(F.col("rep_").isNotNull()).dropDuplicates(["doc_id", "k_"]).select(*own))
+    members = _members(docs, similarity, recall).filter(F.col("n_links").isNotNull())
+    first = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("tkey") == F.col("rep.tkey"))
+    # what becomes of the rows of a (doc_id, text): they go, or one of several repeated rows stays
+    acts = members.groupBy("doc_id", "tkey").agg(F.bool_or(~first).alias("goes"), F.count(F.lit(1)).alias("times")).filter("goes OR times > 1")
+    acts = staged(acts.select(F.col("doc_id").alias("id_"), F.col("tkey").alias("tkey_"), "goes"), "acts")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tkey"))  # a row's own columns cannot clash in its struct
+    same = rows["id"].eqNullSafe(acts["id_"]) & (rows["tkey"] == acts["tkey_"])
+    kept = rows.join(acts, same, "left_anti").select("row")
+    repeated = acts.filter("NOT goes")
+    if n := repeated.count():
+        one = rows.join(F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated, same).dropDuplicates(["id", "tkey"])
+        kept = kept.unionByName(one.select("row"))
+    return kept.select("row.*")

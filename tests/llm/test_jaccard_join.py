@@ -67,7 +67,31 @@ def test_one_of_each_class_stays(spark):
     rows = [(3, text), (1, text + " more"), (1, text + " more"), (2, "alone here in this corpus"), (4, None), (5, ""), (6, None)]
     df = fx.with_extra(fx.docs(spark, rows))
     kept = op.distinct_documents(df)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5, 6]
+    out = kept.collect()
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in out) == [1, 2, 4, 5, 6]
+    assert all(r[c] == "clash" for r in out for c in fx.EXTRA)
+
+
+def test_deeper_levels_keep_the_links(spark, monkeypatch):
+    rng = random.Random(9)
+    shared = [f"s{k}" for k in range(40)]  # all texts share much, and pairs of them nearly all
+    rows = []
+    for i in range(250):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(25)]
+        rows += [(2 * i, " ".join(shared + own)), (2 * i + 1, " ".join(shared + own + ["end"]))]
+    monkeypatch.setattr(op.candidate_edges, "__defaults__", (op.SIMILARITY, op.RECALL, 1, 4, 0))
+    want, got = check(fx.docs(spark, rows))
+    linked = sum(n > 0 for *_, n in want)
+    assert linked == 500 and sum(n > 0 for *_, n in got) >= 0.97 * linked
+
+
+def test_hot_keys(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, 1 if i % 3 else i if i % 2 else None) for i in range(60)], "i int, k int")
+    table = rows.filter("k is not null").groupBy("k").count().selectExpr("k", "count AS n_", "k * 10 AS v")
+    for hot in (1, 2, 1000):
+        monkeypatch.setattr(op, "HOT_KEYS", hot)
+        got = {(r["i"], r["k"], r["v"]) for r in op._attached(rows, table, "k", 60).collect()}
+        assert got == {(r["i"], r["k"], r["k"] and r["k"] * 10) for r in rows.collect()}
 
 
 def test_hard_cases(spark):
