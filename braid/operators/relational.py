@@ -65,6 +65,21 @@ def with_current_step(flows: DataFrame, steps: DataFrame) -> DataFrame:
     return flows.join(now, ["shard", "step_id"], "left")
 
 
+def summaries(flows: DataFrame) -> DataFrame:
+    """The columns of a listing: keys made, texts trimmed, whether it is a subgraph, the trace's id."""
+    trimmed = {c: F.trim(F.coalesce(c, F.lit(""))) for c in ("workflow_url", "workflow_name", "cancel_reason") if c in flows.columns}
+    out = flows.withColumns(trimmed).withColumn("error", F.trim("error")).withColumn("flow_key", sc.flow_key(F.col("shard"), F.col("flow_id"), F.col("flow_token"))).withColumn("subgraph", F.col("surgraph_flow_id") != 0)
+    return out.withColumn("trace_id", sc.trace_id(F.coalesce("trace_parent", F.lit("")))).drop("flow_token", "trace_parent")
+
+
+def of_thread(flows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The flows of the threads that flow keys (key) belong to, each on its key's shard; keys of no flow find nothing."""
+    k = F.col("key")
+    asked = keys.select(sc.key_shard(k).alias("shard"), sc.key_id(k).alias("flow_id"), sc.key_token(k).alias("flow_token"))
+    threads = flows.join(asked, ["shard", "flow_id", "flow_token"], "left_semi").select("shard", "thread_id").distinct()
+    return flows.join(threads, ["shard", "thread_id"], "left_semi")
+
+
 def cursor_of(rows: list) -> str:
     """Where the next page begins: the least flow_id of each shard."""
     least: dict[int, int] = {}
@@ -170,10 +185,14 @@ def orphans(flows: DataFrame, min_age_ms: int, now: datetime) -> DataFrame:
     return flows.filter(~sc.is_terminal(F.col("status")) & (F.col("surgraph_flow_id") != 0) & old).join(parents, ["shard", "surgraph_flow_id"], "left_semi")
 
 
-def stalled(flows: DataFrame, steps: DataFrame) -> DataFrame:
-    """Running flows without a live step."""
-    live = steps.filter(~sc.is_terminal(F.col("status"))).select("shard", "flow_id")
-    return flows.filter(F.col("status") == "running").join(live, ["shard", "flow_id"], "left_anti")
+def stalled(flows: DataFrame, steps: DataFrame, quiet_ms: int = 0, now: datetime | None = None) -> DataFrame:
+    """Running flows without a live step; with ``quiet_ms`` only those that nothing has changed in for so long."""
+    live = ~sc.is_terminal(F.col("status"))
+    out = flows.filter(F.col("status") == "running")
+    if quiet_ms:
+        since = sc.diff_millis(F.lit(now).cast("timestamp"), F.col("updated_at"))
+        live, out = live | (since <= quiet_ms), out.filter(since > quiet_ms)
+    return out.join(steps.filter(live).select("shard", "flow_id"), ["shard", "flow_id"], "left_anti")
 
 
 def parked_without_child(steps: DataFrame, flows: DataFrame) -> DataFrame:
@@ -239,3 +258,15 @@ def classify_peers(peers: DataFrame, now: datetime, fresh_ms: int) -> DataFrame:
     seen = peers.groupBy("engine_id").agg(F.max("seen_at").alias("seen_at"))
     seen = seen.withColumn("fresh", sc.diff_millis(F.lit(now).cast("timestamp"), F.col("seen_at")) <= fresh_ms)
     return seen.withColumn("ordinal", F.when(F.col("fresh"), F.row_number().over(Window.partitionBy("fresh").orderBy("engine_id")) - 1))
+
+
+def peer_view(peers: DataFrame, me: int, now: datetime, fresh_ms: int, dispatch_ms: int, straggler_ms: int) -> DataFrame:
+    """One row: replicas (``me`` always counts), dispatchers, the ordinal of ``me`` among them by id (-1: none), dead ids.
+
+    peers: engine_id, seen_at, dispatched_at, a row for each replica. ``me`` is never dead.
+    """
+    age = lambda c: sc.diff_millis(F.lit(now).cast("timestamp"), F.col(c))
+    own, fresh = F.col("engine_id") == me, age("seen_at") <= fresh_ms
+    sends = fresh & F.coalesce(age("dispatched_at") <= dispatch_ms, F.lit(False))
+    out = peers.agg(F.count_if(fresh).alias("seen"), F.coalesce(F.bool_or(own & fresh), F.lit(False)).alias("here"), F.count_if(sends).alias("dispatchers"), F.coalesce(F.bool_or(own & sends), F.lit(False)).alias("mine"), F.count_if(sends & (F.col("engine_id") < me)).alias("before"), F.array_sort(F.collect_list(F.when((age("seen_at") > straggler_ms) & ~own, F.col("engine_id")))).alias("dead"))
+    return out.select((F.col("seen") + F.when(F.col("here"), 0).otherwise(1)).alias("replicas"), "dispatchers", F.when(F.col("mine"), F.col("before")).otherwise(-1).cast("int").alias("ordinal"), "dead")

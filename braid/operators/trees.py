@@ -57,6 +57,38 @@ def resumed(steps: DataFrame, data: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(hit, "pending").otherwise(F.col("status"))).withColumn("resume_data", F.when(hit, F.col("given_")).otherwise(F.col("resume_data"))).drop("given_")
 
 
+def history(flows: DataFrame, steps: DataFrame, roots: DataFrame) -> DataFrame:
+    """The steps of each root's flow and of the flows called below it: columns of steps, root, level and sub_flow_id.
+
+    A caller that was tried again has the child that it launched last; sub_flow_id is null where that has no steps yet.
+    roots: flow_id. flows: flow_id, surgraph_step_id (0 for roots).
+    """
+    callers = steps.select(F.col("step_id").alias("caller"), F.col("flow_id").alias("parent"))
+    called = flows.filter("surgraph_step_id <> 0").groupBy(F.col("surgraph_step_id").alias("caller")).agg(F.max("flow_id").alias("child")).join(callers, "caller")
+    called = staged(called, "calls")
+    tree = descendants(called, roots.select("flow_id"), "parent", "child").select("root", F.col("node").alias("flow_id"), F.col("depth").alias("level"))
+    begun = called.join(steps.select(F.col("flow_id").alias("child")).distinct(), "child").select(F.col("caller").alias("step_id"), F.col("child").alias("sub_flow_id"))
+    return tree.join(steps, "flow_id").join(begun, "step_id", "left")
+
+
+def nested(history_rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(root, history): the rows of ``history`` as one JSON text for each root, in order of depth and id; callers hold the
+    history of the flow that they called. A round for each level, deepest first."""
+    deepest = history_rows.agg(F.max("level")).first()[0]
+    below = None
+    for level in range(deepest if deepest is not None else -1, -1, -1):
+        rows = history_rows.filter(F.col("level") == level)
+        rows = rows.join(below, ["root", "sub_flow_id"], "left") if below is not None else rows.withColumn("sub_history", F.lit(None).cast("string"))
+        text = F.to_json(F.struct(*columns))
+        whole = F.when(F.col("sub_history").isNull(), text).otherwise(F.concat(F.substr(text, F.lit(1), F.length(text) - 1), F.lit(',"sub_history":'), F.col("sub_history"), F.lit("}")))
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("step_depth", "step_id", whole.alias("t")))), lambda x: x["t"])
+        out = rows.groupBy("root", "flow_id").agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("sub_history"))
+        below = staged(out.withColumnRenamed("flow_id", "sub_flow_id"), "nested")
+    if below is None:
+        return history_rows.select("root", F.lit("").alias("history"))
+    return below.select("root", F.col("sub_history").alias("history"))
+
+
 def navigation(steps: DataFrame, calls: DataFrame) -> DataFrame:
     """(step_id, previous, next) across subgraphs: the entry of a called flow follows its caller, its exit comes before the caller's successor.
 

@@ -2,9 +2,10 @@
 
 A task is a function from a state column (MAP of field to JSON text) to a column of changes, so it stays in the JVM; the
 changes may hold ``$error`` (the task failed, its other changes are void) or ``$goto`` (JSON text of a node name). A level
-evaluates the tasks of all its nodes in one projection, routes by one array of branches per step, and is staged. A fan-in
-fires when no branch of its cohort is under way: the changes of its completed members, in fold order, are reduced onto
-the state of the spawn in one aggregation for all cohorts of the level.
+evaluates the tasks of all its nodes in one projection, routes by one array of branches per step, and is staged; the log of
+steps is appended to, and only the members of open cohorts are carried on. A fan-in fires when no branch of its cohort is
+under way: the changes of its completed members, in fold order, are reduced onto the state of the spawn in one aggregation
+for all cohorts of the level. What a flow ends with is the merge of its last steps, of all flows at once.
 """
 
 from __future__ import annotations
@@ -16,35 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braid.functions import state as st
+from braid.operators import states as sts
 from braid.plans.graph import END, Edge, Graph
 from braid.plans.predicate import compiled
-from braid.sources.staging import staged
+from braid.sources.staging import appended, staged
 
 Task = Callable[[Column], Column]
 
 _FRAME = "array<struct<spawn:string,ordinal:int>>"
-_STEP = "flow_id long, path string, node string, frames " + _FRAME + ", depth int, state map<string,string>, delta map<string,string>, status string"
-
-
-def _json(value: Column) -> Column:
-    """JSON text of a string column."""
-    text = F.to_json(F.array(value))
-    return F.substr(text, F.lit(2), F.length(text) - 2)
-
-
-def _text(value: Column) -> Column:
-    """The string that a JSON text stands for."""
-    return F.try_variant_get(F.try_parse_json(value), "$", "string")
-
-
-def _elements(value: Column) -> Column:
-    """JSON texts of the elements of an array; another value is one element."""
-    some = F.transform(F.from_json(value, "array<variant>"), lambda x: F.coalesce(F.to_json(x), F.lit("null")))
-    return F.when(value.startswith("["), some).otherwise(F.array(value))
-
-
-def _tidy(number: Column) -> Column:
-    return F.when(number == F.floor(number), F.floor(number).cast("string")).otherwise(number.cast("string"))
+_LOG = "flow_id long, path string, node string, frames " + _FRAME + ", depth int, state map<string,string>, delta map<string,string>, status string, spawns boolean, arrives boolean, onward boolean"
+_WAITING = "flow_id long, path string, node string, frames " + _FRAME + ", depth int, state map<string,string>, delta map<string,string>"
+_MEMBER = "flow_id long, spawn string, o struct<ordinal:int,depth:int,path:string>, delta map<string,string>, status string, error string"
 
 
 def _chosen(g: Graph, e: Edge, earlier: list[Edge], state: Column, goto: Column, failed: Column) -> Column:
@@ -76,7 +59,7 @@ def _branches(g: Graph, state: Column, goto: Column, failed: Column) -> Column:
         one = lambda item, at, n, e=e, push=push: F.struct(F.lit(e.target).alias("target"), item.alias("item"), F.lit(e.item or "item").alias("name"), at.alias("at"), n.alias("count"), F.lit(push).alias("push"), F.lit(bool(e.for_each)).alias("each"), F.lit(e.on_error).alias("error"))
         if e.for_each:
             value = F.element_at(state, e.for_each)
-            items = F.when(F.coalesce(value.startswith("["), F.lit(False)), _elements(value)).otherwise(F.array().cast("array<string>"))
+            items = F.when(F.coalesce(value.startswith("["), F.lit(False)), sts.elements(value)).otherwise(F.array().cast("array<string>"))
             rows = _each(items, one)
         else:
             rows = F.array(one(F.lit(None).cast("string"), F.lit(0), F.lit(0)))
@@ -84,101 +67,96 @@ def _branches(g: Graph, state: Column, goto: Column, failed: Column) -> Column:
     return F.flatten(F.array(*out))
 
 
-def _folded(g: Graph, members: DataFrame, bases: DataFrame) -> DataFrame:
-    """(flow_id, spawn, merged): the members' changes reduced onto the base state of each spawn."""
-    changes = members.filter("status = 'completed'").select("flow_id", F.element_at("frames", -1).alias("f"), "depth", "path", F.explode("delta").alias("field", "value"))
-    changes = changes.select("flow_id", F.col("f.spawn").alias("spawn"), F.struct(F.col("f.ordinal"), "depth", "path").alias("o"), "field", "value").filter(~F.col("field").startswith("$"))
-    kind = F
-    for field, r in g.reducers.items():
-        kind = kind.when(F.col("field") == field, F.lit(r))
-    changes = changes.withColumn("kind", kind.otherwise(F.lit("replace")) if g.reducers else F.lit("replace"))
-    v, live = F.col("value"), (F.col("value") != "null") & (F.col("kind") != "replace")
-    number, flag = F.expr("try_cast(value AS DOUBLE)"), F.expr("try_cast(value AS BOOLEAN)")
-    listed = F.array_sort(F.collect_list(F.when(live & F.col("kind").isin("append", "union", "concat", "merge"), F.struct("o", "value"))))
-    a = changes.groupBy("flow_id", "spawn", "field", "kind").agg(F.max_by("value", "o").alias("last"), F.sum(F.when(live, number)).alias("add"), F.min(F.when(live, number)).alias("min"), F.max(F.when(live, number)).alias("max"), F.bool_and(F.when(live, flag)).alias("and"), F.bool_or(F.when(live, flag)).alias("or"), listed.alias("l"))
-    a = a.join(bases.select("flow_id", F.col("path").alias("spawn"), F.col("base")), ["flow_id", "spawn"])
-    own = F.element_at("base", F.col("field"))
-    base_number, base_flag = F.expr("try_cast(element_at(base, field) AS DOUBLE)"), F.expr("try_cast(element_at(base, field) AS BOOLEAN)")
-    texts = F.transform("l", lambda x: x["value"])
-    items = F.flatten(F.transform(texts, _elements))
-    base_items = F.when(own.isNull(), F.array().cast("array<string>")).otherwise(_elements(own))
-    merge = F.aggregate(F.transform(texts, lambda x: st.entries(x)), F.coalesce(st.entries(own), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), st.overlay)
-    as_list = lambda x: F.concat(F.lit("["), F.array_join(x, ","), F.lit("]"))
-    k = F.col("kind")
-    value = (
-        F.when(k == "replace", F.col("last"))
-        .when(k == "add", _tidy(F.coalesce(base_number, F.lit(0.0)) + F.coalesce("add", F.lit(0.0))))
-        .when(k == "min", _tidy(F.least(base_number, "min"))).when(k == "max", _tidy(F.greatest(base_number, "max")))
-        .when(k == "and", (F.coalesce(base_flag, F.lit(True)) & F.coalesce("and", F.lit(True))).cast("string")).when(k == "or", (F.coalesce(base_flag, F.lit(False)) | F.coalesce("or", F.lit(False))).cast("string"))
-        .when(k == "append", as_list(F.concat(base_items, items)))
-        .when(k == "union", as_list(F.when(own.isNull(), F.array_distinct(items)).otherwise(F.concat(base_items, F.array_except(items, base_items)))))
-        .when(k == "concat", _json(F.concat(F.coalesce(_text(own), F.lit("")), F.array_join(F.transform(texts, _text), ""))))
-        .when(k == "merge", st.encode(merge))
-    )
-    # a combining reducer whose operands were all cleared leaves the base alone
-    silent = (k != "replace") & F.coalesce("add", F.lit(None)).isNull() & F.col("and").isNull() & (F.size("l") == 0) & F.col("min").isNull()
-    a = a.filter(~silent).select("flow_id", "spawn", F.struct(F.col("field").alias("key"), value.alias("value")).alias("e"))
-    return a.groupBy("flow_id", "spawn").agg(F.map_from_entries(F.collect_list("e")).alias("merged"))
+def _unspread(g: Graph, state: Column, goto: Column, failed: Column) -> Column:
+    """JSON text of the error of a step whose forEach field is no array; null where all are (or are absent or null)."""
+    out = [F.lit(None).cast("string")]
+    for i, e in enumerate(g.edges):
+        if e.for_each:
+            earlier = [x for x in g.edges[:i] if x.source == e.source and x.switch]
+            value = F.coalesce(F.element_at(state, e.for_each), F.lit("null"))
+            out.append(F.when(_chosen(g, e, earlier, state, goto, failed) & (value != "null") & ~value.startswith("["), sts.quoted(F.lit(f"forEach field '{e.for_each}' is not an array"))))
+    return F.coalesce(*out)
+
+
+def _spreads(g: Graph) -> dict[str, list[str]]:
+    """The fields that a node's fan-out gives to each of its branches."""
+    return {n: [f"{e.item or 'item'}{x}" for e in g.leaving(n) if e.for_each for x in ("", "Index", "Count")] for n in g.urls if any(e.for_each for e in g.leaving(n))}
 
 
 def run(graph: Graph, flows: DataFrame, tasks: dict[str, Task], max_levels: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(outcomes, steps) of a graph for flows (flow_id, state as JSON text).
 
     outcomes: flow_id, status (completed or failed), state as JSON text, error. A node without a task changes nothing.
-    Levels run until no flow is under way; a stated ``max_levels`` that is reached before is an error.
+    A failed branch fails its cohort when the last branch of it has arrived, and so on outward; the flow fails with the
+    first error by branch. Levels run until no flow is under way; a stated ``max_levels`` that is reached before is an error.
     """
     graph.validate()
-    meets, spark = graph.convergence(), flows.sparkSession
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    meets, spark, spreads = graph.convergence(), flows.sparkSession, _spreads(graph)
+    empty, frame = sts.no_fields(), F.try_element_at(F.col("frames"), F.lit(-1))
+    log, ends = appended(spark, "log", _LOG), appended(spark, "ends", "flow_id long, status string, error string")
     level = flows.select(F.col("flow_id").cast("long").alias("flow_id"), F.lit(graph.entry).alias("path"), F.lit(graph.entry).alias("node"), F.array().cast(_FRAME).alias("frames"), F.lit(1).alias("depth"), F.coalesce(st.entries(F.col("state")), empty).alias("state"))
-    logs, waiting, outcomes = spark.createDataFrame([], _STEP), spark.createDataFrame([], "flow_id long, path string, node string, frames " + _FRAME + ", base map<string,string>, names array<string>"), spark.createDataFrame([], "flow_id long, status string, state map<string,string>, error string")
+    waiting, members = spark.createDataFrame([], _WAITING), spark.createDataFrame([], _MEMBER)
     for at in count(1):
         delta = F
         for node, task in tasks.items():
             delta = delta.when(F.col("node") == node, task(F.col("state")))
         done = level.withColumn("delta", F.coalesce(delta.otherwise(empty) if tasks else empty, empty))
-        error, goto = F.element_at("delta", "$error"), _text(F.element_at("delta", "$goto"))
-        done = staged(done.withColumn("error", error).withColumn("goto", goto).withColumn("delta", F.when(error.isNotNull(), empty).otherwise(st.without(F.col("delta"), "$goto", "$error"))).withColumn("next", st.without_deleted(st.overlay(F.col("state"), F.col("delta")))).withColumn("failed", F.col("error").isNotNull()).withColumn("branches", _branches(graph, F.col("next"), F.col("goto"), F.col("failed"))), "steps")
+        error, goto = F.element_at("delta", "$error"), sts.text_of(F.element_at("delta", "$goto"))
+        done = done.withColumn("error", error).withColumn("goto", goto).withColumn("delta", F.when(error.isNotNull(), empty).otherwise(st.without(F.col("delta"), "$goto", "$error"))).withColumn("next", st.without_deleted(st.overlay(F.col("state"), F.col("delta")))).withColumn("failed", F.col("error").isNotNull())
+        done = done.withColumn("unspread", _unspread(graph, F.col("next"), F.col("goto"), F.col("failed"))).withColumn("branches", _branches(graph, F.col("next"), F.col("goto"), F.col("failed")))
+        done = done.withColumn("branches", F.when(F.col("unspread").isNull(), F.col("branches")).otherwise(F.filter("branches", lambda b: F.lit(False))))
         handled = F.col("failed") & F.exists("branches", lambda b: b["error"])
         inside = F.size("frames") > 0
-        spawner = F.col("node").isin(*meets) & ~F.col("failed") & F.col("goto").isNull()
+        spawner = F.col("node").isin(*meets) & ~F.col("failed") & F.col("goto").isNull() & F.col("unspread").isNull()
         stuck = ~F.col("failed") & (F.size("branches") == 0) & ~spawner & (inside | F.col("goto").isNotNull())  # a dead end inside a cohort, or a goto without its edge
-        status = F.when(stuck | (F.col("failed") & ~handled), "failed").otherwise("completed")
-        done = done.withColumn("status", status).withColumn("error", F.coalesce("error", F.when(stuck, _json(F.lit("no way on")))))
-        logs = logs.unionByName(done.select("flow_id", "path", "node", "frames", "depth", "state", "delta", "status"))
-        # flows that end here
-        ends = ~inside & ((F.size("branches") == 0) & ~spawner | F.exists("branches", lambda b: b["target"] == END) | (F.col("status") == "failed"))
-        failed = F.col("status") == "failed"
-        outcomes = outcomes.unionByName(done.filter(ends | failed).select("flow_id", "status", F.col("next").alias("state"), "error"))
-        # spawns wait for their branches
-        new = done.filter(spawner).select("flow_id", "path", "node", "frames", F.col("next").alias("base"), F.flatten(F.transform(F.filter("branches", lambda b: b["each"]), lambda b: F.array(b["name"], F.concat(b["name"], F.lit("Index")), F.concat(b["name"], F.lit("Count"))))).alias("names"))
-        waiting = waiting.unionByName(new)
-        # branches go on; those into a fan-in have arrived
-        on = done.filter(~failed).select("*", F.posexplode("branches").alias("ordinal", "b")).filter((F.col("b.target") != END) & ~F.col("b.target").isin(*graph.fan_ins, ""))
+        broken = stuck | (F.col("failed") & ~handled) | F.col("unspread").isNotNull()
+        into = lambda b: b["target"].isin(*graph.fan_ins, "")
+        done = staged(done.withColumns({"status": F.when(broken, "failed").otherwise("completed"), "error": F.coalesce("error", "unspread", F.when(stuck, sts.quoted(F.lit("no way on")))), "spawns": spawner, "arrives": F.exists("branches", into), "onward": F.exists("branches", lambda b: ~into(b) & (b["target"] != END))}), "steps")
+        log.add(done)
+        # flows that end here, and branches that go on; those into a fan-in have arrived
+        over = ~inside & ((F.col("status") == "failed") | ~F.col("onward") & ~F.col("spawns"))
+        ends.add(done.filter(over).select("flow_id", "status", "error"))
+        on = done.filter("status = 'completed'").select("*", F.posexplode("branches").alias("ordinal", "b")).filter((F.col("b.target") != END) & ~F.col("b.target").isin(*graph.fan_ins, ""))
         extra = F.when(F.col("b.each"), F.map_from_arrays(F.array(F.col("b.name"), F.concat(F.col("b.name"), F.lit("Index")), F.concat(F.col("b.name"), F.lit("Count"))), F.array("b.item", F.col("b.at").cast("string"), F.col("b.count").cast("string")))).when(F.col("b.error"), F.create_map(F.lit("onErr"), F.col("error"))).otherwise(empty)
         pushed = F.concat("frames", F.array(F.struct(F.col("path").alias("spawn"), F.col("ordinal"))))
-        level = on.select("flow_id", F.concat("path", F.lit("/"), F.col("b.target"), F.lit("."), F.col("ordinal").cast("string")).alias("path"), F.col("b.target").alias("node"), F.when(F.col("b.push"), pushed).otherwise(F.col("frames")).alias("frames"), (F.col("depth") + 1).alias("depth"), st.overlay(F.col("next"), extra).alias("state"))
-        level = staged(level, "level")
-        # cohorts of which nothing is under way, innermost first
-        busy = level.select("flow_id", F.explode("frames").alias("f")).select("flow_id", F.col("f.spawn").alias("path"))
-        inner = waiting.select("flow_id", F.explode("frames").alias("f")).select("flow_id", F.col("f.spawn").alias("path"))
-        ready = staged(waiting.join(busy.unionByName(inner).distinct(), ["flow_id", "path"], "left_anti"), "ready")
-        members = logs.filter(F.size("frames") > 0).withColumn("path_", F.element_at("frames", -1)["spawn"])
-        members = members.join(ready.select("flow_id", F.col("path").alias("path_")), ["flow_id", "path_"], "left_semi")
-        depth = members.groupBy("flow_id", F.col("path_").alias("path")).agg(F.max("depth").alias("deepest"), F.count_if(F.col("status") == "failed").alias("broken"))
-        merged = _folded(graph, members, ready).withColumnRenamed("spawn", "path")
-        fired = ready.join(merged, ["flow_id", "path"], "left").join(depth, ["flow_id", "path"], "left").filter(F.coalesce("broken", F.lit(0)) == 0)
-        meet = F
-        for source, target in meets.items():
-            meet = meet.when(F.col("node") == source, F.lit(target))
-        state = F.map_filter(st.without_deleted(st.overlay(F.col("base"), F.coalesce("merged", empty))), lambda k, v: ~F.array_contains(F.col("names"), k))
+        level = staged(on.select("flow_id", F.concat("path", F.lit("/"), F.col("b.target"), F.lit("."), F.col("ordinal").cast("string")).alias("path"), F.col("b.target").alias("node"), F.when(F.col("b.push"), pushed).otherwise(F.col("frames")).alias("frames"), (F.col("depth") + 1).alias("depth"), st.overlay(F.col("next"), extra).alias("state")), "level")
         if meets:
-            level = staged(level.unionByName(fired.select("flow_id", F.concat("path", F.lit(">")).alias("path"), meet.alias("node"), "frames", (F.coalesce("deepest", F.size("frames") + 1) + 1).alias("depth"), state.alias("state"))), "level")
-        waiting = staged(waiting.join(ready.select("flow_id", "path"), ["flow_id", "path"], "left_anti"), "waiting")
-        logs, outcomes = staged(logs, "log"), staged(outcomes, "outcomes")
-        if level.isEmpty():
+            # open cohorts: their spawns wait, the changes of their members are kept until they meet
+            waiting = waiting.unionByName(done.filter("spawns").select("flow_id", "path", "node", "frames", "depth", "state", "delta"))
+            members = members.unionByName(done.filter(inside).select("flow_id", frame["spawn"].alias("spawn"), F.struct(frame["ordinal"].alias("ordinal"), "depth", "path").alias("o"), "delta", "status", "error"))
+            # cohorts of which nothing is under way, innermost first
+            busy = level.select("flow_id", F.explode("frames").alias("f")).unionByName(waiting.select("flow_id", F.explode("frames").alias("f"))).select("flow_id", F.col("f.spawn").alias("path")).distinct()
+            ready = staged(waiting.join(busy, ["flow_id", "path"], "left_anti"), "ready")
+            cohort = ready.select("flow_id", F.col("path").alias("spawn"))
+            here = staged(members.join(cohort, ["flow_id", "spawn"], "left_semi"), "here")
+            fold = here.filter("status = 'completed'").select("flow_id", "spawn", "o", "delta").unionByName(ready.select("flow_id", F.col("path").alias("spawn"), F.struct(F.lit(-1).alias("ordinal"), "depth", "path").alias("o"), "delta"))
+            merged = sts.reduce_states(ready.select("flow_id", F.col("path").alias("spawn"), F.col("state").alias("base")), fold, ["flow_id", "spawn"], graph.reducers)
+            seen = here.groupBy("flow_id", "spawn").agg(F.max("o.depth").alias("deepest"), F.min_by("error", F.when(F.col("status") == "failed", F.col("o"))).alias("lost"), F.count_if(F.col("status") == "failed").alias("failures"))
+            met = ready.drop("state", "delta").withColumnRenamed("path", "spawn").join(merged, ["flow_id", "spawn"]).join(seen, ["flow_id", "spawn"], "left")
+            met = staged(met.withColumn("error", F.when(F.col("failures") > 0, F.col("lost")).otherwise(F.when(F.col("error").isNotNull(), sts.quoted(F.col("error"))))).withColumn("failed", (F.coalesce("failures", F.lit(0)) > 0) | F.col("error").isNotNull()), "met")
+            meet, names = F, F
+            for source, target in meets.items():
+                meet = meet.when(F.col("node") == source, F.lit(target))
+                names = names.when(F.col("node") == source, F.array(*map(F.lit, spreads.get(source, ()))).cast("array<string>"))
+            met = met.withColumn("names", names.otherwise(F.array().cast("array<string>")))
+            fired = met.filter("NOT failed").select("flow_id", F.concat("spawn", F.lit(">")).alias("path"), meet.alias("node"), "frames", (F.coalesce("deepest", "depth") + 1).alias("depth"), F.map_filter(st.without_deleted(F.col("state")), lambda k, v: ~F.array_contains(F.col("names"), k)).alias("state"))
+            level = staged(level.unionByName(fired), "level")
+            # a cohort that failed fails as a branch of the one around it, or with its flow
+            lost = met.filter("failed")
+            ends.add(lost.filter(~inside).select("flow_id", F.lit("failed").alias("status"), "error"))
+            climbs = lost.filter(inside).select("flow_id", frame["spawn"].alias("spawn"), F.struct(frame["ordinal"].alias("ordinal"), "depth", F.concat("spawn", F.lit("!")).alias("path")).alias("o"), empty.alias("delta"), F.lit("failed").alias("status"), "error")
+            members = staged(members.join(cohort, ["flow_id", "spawn"], "left_anti").unionByName(climbs), "members")
+            waiting = staged(waiting.join(ready.select("flow_id", "path"), ["flow_id", "path"], "left_anti"), "waiting")
+        if level.isEmpty() and waiting.isEmpty():
             break
         if at == max_levels:
             raise ValueError(f"flows are under way after {max_levels} levels")
-    last = outcomes.groupBy("flow_id").agg(F.max_by(F.struct("status", "state", "error"), F.when(F.col("status") == "failed", 1).otherwise(0)).alias("o"))
-    return last.select("flow_id", F.col("o.status").alias("status"), st.encode(F.col("o.state")).alias("state"), _text(F.col("o.error")).alias("error")), logs
+    steps = log.read()
+    # a step whose cohort met, and a spawn whose branches did, are followed by the fan-in
+    follows = F.when(F.col("spawns"), F.concat("path", F.lit(">"))).when(F.col("arrives"), F.concat(frame["spawn"], F.lit(">")))
+    met = steps.filter(F.col("path").endswith(">")).select("flow_id", F.col("path").alias("follows"), F.lit(True).alias("met"))
+    stored = steps.withColumn("follows", follows).join(met, ["flow_id", "follows"], "left")
+    stored = stored.select("flow_id", F.col("path").alias("step_id"), frame["spawn"].alias("lineage_id"), frame["ordinal"].alias("fan_out_ordinal"), F.col("depth").alias("step_depth"), "status", F.col("node").alias("task_name"), (~F.col("onward") & F.col("met").isNull()).alias("tail"), "state", F.col("delta").alias("changes"))
+    final = sts.final_states(stored, graph.reducers, spreads, ("step_depth", "step_id"))
+    out = ends.read().join(final, "flow_id", "left")
+    return out.select("flow_id", "status", st.encode(F.col("state")).alias("state"), sts.text_of(F.when(F.col("status") == "failed", F.col("error"))).alias("error")), steps.select("flow_id", "path", "node", "frames", "depth", "state", "delta", "status")

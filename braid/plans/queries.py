@@ -67,8 +67,10 @@ def cohort_fold(spark, sf_dir):
  SELECT user_id, string_agg(event_type, ',' ORDER BY t) AS kinds FROM u GROUP BY user_id""")
 def cohort_union(spark, sf_dir):
     """A3: union in order of first sight."""
-    out = rd.fold(_members(spark, sf_dir), ["user_id"], ["ts", "event_id"], {"kinds": ("union", "event_type")})
-    return out.select("user_id", F.array_join(F.array_distinct("kinds"), ",").alias("kinds"))
+    rows = _members(spark, sf_dir)
+    spawns = rows.select("user_id").distinct().withColumn("kinds", F.lit(None).cast("array<string>"))
+    out = rd.fan_in(spawns, rows.withColumn("status", F.lit("completed")), ["user_id"], ["ts", "event_id"], {"kinds": ("union", "event_type")})
+    return out.select("user_id", F.array_join("kinds", ",").alias("kinds"))
 
 
 @query("""SELECT user_id, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS ids FROM events GROUP BY user_id""")
@@ -130,17 +132,9 @@ def goto_routing(spark, sf_dir):
     return rt.goto_edges(rows, "wanted", edges).groupBy("task_name", "target", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents) SELECT doc_id, CAST(i - 1 AS INT) AS "wordIndex", CAST(len(ws) AS INT) AS "wordCount", ws[i] AS word
- FROM w, unnest(range(1, len(ws) + 1)) AS t(i) WHERE i <= 5""")
-def for_each_words(spark, sf_dir):
-    """A branch for each element with its index and count (the report shows the first five)."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("ws"))
-    return rt.for_each(rows, F.col("ws"), "word").filter("wordIndex < 5").select("doc_id", "wordIndex", "wordCount", "word")
-
-
 @query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents) SELECT doc_id, CAST(i - 1 AS INT) AS "wordIndex", CAST(len(ws) AS INT) AS "wordCount", ws[i] AS word
  FROM w, unnest(range(1, len(ws) + 1)) AS t(i)""")
-def for_each_all_words(spark, sf_dir):
+def for_each_words(spark, sf_dir):
     """All branches of all documents."""
     rows = read(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("ws"))
     return rt.for_each(rows, F.col("ws"), "word").select("doc_id", "wordIndex", "wordCount", "word")
@@ -202,11 +196,11 @@ def url_helpers(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", sc.strip_protocol(F.col("url")).alias("bare"), sc.host_of(F.col("url")).alias("host"))
 
 
-@query(f"""WITH {FLOWS} SELECT shard || '-' || flow_id || '-' || flow_token AS key, shard, flow_id, flow_token AS token, shard || '-' || flow_id AS correlation,
- epoch_ms(updated_at) - epoch_ms(created_at) AS age_ms, status IN ('completed', 'failed', 'cancelled') AS terminal, status NOT IN ('created', 'pending') AS started FROM flows WHERE shard > 0""")
+@query(f"""WITH {FLOWS} SELECT (shard + 1) || '-' || flow_id || '-' || flow_token AS key, shard + 1 AS shard, flow_id, flow_token AS token, (shard + 1) || '-' || flow_id AS correlation,
+ epoch_ms(updated_at) - epoch_ms(created_at) AS age_ms, status IN ('completed', 'failed', 'cancelled') AS terminal, status NOT IN ('created', 'pending') AS started FROM flows""")
 def key_codec(spark, sf_dir):
     """Keys made and parsed, ages, status sets."""
-    f = flows(spark, sf_dir).filter("shard > 0")
+    f = flows(spark, sf_dir).withColumn("shard", F.col("shard") + 1)  # keys number shards from 1
     f = f.withColumn("key", sc.flow_key(F.col("shard"), F.col("flow_id"), F.col("flow_token")))
     k, s = F.col("key"), F.col("status")
     return f.select("key", sc.key_shard(k).alias("shard"), sc.key_id(k).alias("flow_id"), sc.key_token(k).alias("token"), sc.correlation_id(F.col("shard"), F.col("flow_id")).alias("correlation"), sc.diff_millis(F.col("updated_at"), F.col("created_at")).alias("age_ms"), sc.is_terminal(s).alias("terminal"), sc.has_started(s).alias("started"))
@@ -289,12 +283,6 @@ def latest_turn(spark, sf_dir):
     return rel.latest(read(spark, sf_dir, "conversations"), ["conv_id"], ["turn"]).select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
 
 
-@query("""SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1""")
-def latest_child(spark, sf_dir):
-    """W4, J11."""
-    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))
-
-
 @query(f"""WITH {FLOWS} SELECT shard, thread_id, flow_id FROM (SELECT *, row_number() OVER (PARTITION BY shard, thread_id ORDER BY updated_at, flow_id) AS rn FROM flows WHERE status = 'interrupted') WHERE rn = 1""")
 def earliest_interrupted(spark, sf_dir):
     """The leaf that a resume takes."""
@@ -351,12 +339,6 @@ def invariants(spark, sf_dir):
     return rel.invariants(f, s)
 
 
-@query("""SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
-def nations_without_suppliers(spark, sf_dir):
-    """Anti join."""
-    return read(spark, sf_dir, "nation").join(read(spark, sf_dir, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_anti").select("n_nationkey")
-
-
 # ---------------------------------------------------------------- trees
 
 
@@ -379,13 +361,6 @@ def fork_kept_steps(spark, sf_dir):
     return orders.select(F.col("o_orderkey").alias("kept")).join(gone.select(F.col("node").alias("kept")), "kept", "left_anti")
 
 
-@query("""SELECT r_name, n_name, count(c_custkey) AS customers FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
-def history_tree(spark, sf_dir):
-    """A level below each node, nested counts."""
-    n = read(spark, sf_dir, "region").join(read(spark, sf_dir, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.join(read(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("r_name", "n_name").agg(F.count("c_custkey").alias("customers"))
-
-
 # ---------------------------------------------------------------- scheduling
 
 _DUE = f"status = 'pending' AND parked = 0 AND not_before <= {NOW_SQL} AND lease_expires <= {NOW_SQL}"
@@ -463,7 +438,7 @@ def stealing(spark, sf_dir):
 @query(f"""WITH e AS (SELECT user_id AS engine_id, max(ts) AS seen FROM events GROUP BY 1), m AS (SELECT max(ts) AS t FROM events), c AS (SELECT engine_id, epoch_ms(TIMESTAMP '2024-01-05 00:00:00') - epoch_ms(seen) <= 86400000 AS fresh FROM e)
  SELECT engine_id, fresh, CASE WHEN fresh THEN CAST(row_number() OVER (PARTITION BY fresh ORDER BY engine_id) - 1 AS INT) END AS ordinal FROM c""")
 def peer_classes(spark, sf_dir):
-    """A27, W6, S18, S19."""
+    """Fresh replicas and their ordinals."""
     from datetime import datetime
 
     beats = read(spark, sf_dir, "events").select(F.col("user_id").alias("engine_id"), F.col("ts").alias("seen_at"))
@@ -492,7 +467,7 @@ def wait_profile(spark, sf_dir):
 
 @query("""SELECT conv_id, string_agg(substr(role, 1, 1), '' ORDER BY turn) AS roles, CAST(sum(length(text)) AS DOUBLE) AS chars, last(text ORDER BY turn) AS final FROM conversations GROUP BY 1""")
 def thread_fold(spark, sf_dir):
-    """The turns of a thread folded one after another."""
+    """The turns of a thread folded one after another."""
     rows = read(spark, sf_dir, "conversations").withColumn("r", F.substring("role", 1, 1)).withColumn("n", F.length("text"))
     return rd.fold(rows, ["conv_id"], ["turn"], {"roles": ("concat", "r"), "chars": ("add", "n"), "final": ("replace", "text")})
 

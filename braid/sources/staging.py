@@ -13,10 +13,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (local runs) one of our own, removed at the end."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset in a local run one of our own, removed at the end."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
     app = spark.sparkContext.applicationId
     if app not in _own:
         path = tempfile.mkdtemp(prefix="braid-")
@@ -30,3 +32,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class appended:
+    """A table in the shared folder that grows by whole batches; what is there already is never written again."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.schema = spark.createDataFrame([], schema).schema
+        spark.createDataFrame([], schema).write.parquet(self.path)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.select(*self.schema.names).write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)

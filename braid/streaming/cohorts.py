@@ -18,16 +18,20 @@ COHORT = "lineage_id long, arrivals long, failures long, total double, last_ordi
 _STATE = "arrivals long, failures long, total double, last_ordinal long, done boolean"
 
 
-def barrier(branches: DataFrame, size: str = "cohort_size", timeout_ms: int = 0) -> DataFrame:
+def barrier(branches: DataFrame, size: str = "cohort_size", timeout_ms: int = 0, grace_ms: int = 0) -> DataFrame:
     """One row for each cohort when all of its branches have arrived: completed, or failed if any did.
 
     branches: lineage_id, cohort_size, fan_out_ordinal, status, value. A late branch of a failed cohort still counts, so a
     cohort resolves once, after its last arrival. With a timeout, a cohort that waits longer is resolved as timed out.
+    What is kept of a resolved cohort, so that a repeated branch does not open it again, goes after ``grace_ms`` (0: never).
     """
 
     def arrive(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         arrivals, failures, total, last, done = state.get if state.exists else (0, 0, 0.0, -1, False)
         resolved, wanted = "", 0
+        if state.hasTimedOut and done:
+            state.remove()
+            return
         if state.hasTimedOut:
             resolved = "timed out"
         else:
@@ -40,23 +44,41 @@ def barrier(branches: DataFrame, size: str = "cohort_size", timeout_ms: int = 0)
                 resolved = "failed" if failures else "completed"
         if resolved and not done:
             yield pd.DataFrame([(key[0], arrivals, failures, total, last, resolved)], columns=[c.split()[0] for c in COHORT.split(", ")])
-        if state.hasTimedOut:
-            state.remove()
-            return
-        state.update((arrivals, failures, total, last, done or bool(resolved)))
-        if timeout_ms and not (done or resolved):
-            state.setTimeoutDuration(timeout_ms)
+        done = done or bool(resolved)
+        state.update((arrivals, failures, total, last, done))
+        if wait := grace_ms if done else timeout_ms:
+            state.setTimeoutDuration(wait)
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms or grace_ms else GroupStateTimeout.NoTimeout
     return branches.groupBy("lineage_id").applyInPandasWithState(arrive, COHORT, _STATE, "append", timeout)
 
 
-def due_work(steps: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Steps of a stream once, when their not_before is reached: those still ahead are left to a later trigger's scan.
+def due_work(steps: DataFrame, grace_ms: int = 3_600_000) -> DataFrame:
+    """Each step of a stream once, when its not_before is reached: one that is still ahead waits in the state of its key.
 
-    Repeats within the watermark (deliveries are at least once) drop out by step.
+    A timer at not_before lets it out in the first trigger after that, whether or not more steps come. Repeats (deliveries
+    are at least once) drop out by step; that a step was let out is kept for ``grace_ms``. A step without not_before is due.
     """
-    return steps.withWatermark("not_before", watermark).dropDuplicatesWithinWatermark(["step_id"]).filter(F.col("not_before") <= F.current_timestamp())
+
+    def wait(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        payload, at, out = state.get if state.exists else (None, 0, False)
+        if state.hasTimedOut and out:
+            state.remove()
+            return
+        if not state.hasTimedOut:
+            for pdf in batches:  # of repeats the first counts
+                if payload is None and len(pdf):
+                    payload, at = pdf["payload"].iloc[0], int(pdf["at"].iloc[0])
+        now = state.getCurrentProcessingTimeMs()
+        if not out and at <= now:
+            yield pd.DataFrame({"payload": [payload]})
+            out = True
+        state.update((payload if not out else "", at, out))
+        state.setTimeoutDuration(grace_ms if out else at - now)
+
+    rows = steps.select("step_id", F.coalesce(F.unix_millis(F.col("not_before").cast("timestamp")), F.lit(0)).alias("at"), F.to_json(F.struct("*")).alias("payload"))
+    due = rows.groupBy("step_id").applyInPandasWithState(wait, "payload string", "payload string, at long, out boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return due.select(F.from_json("payload", steps.schema).alias("step")).select("step.*")
 
 
 def turns(messages: DataFrame) -> DataFrame:

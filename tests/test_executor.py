@@ -66,4 +66,27 @@ def test_nested_and_failing_cohorts(spark):
     }
     got, _ = outcomes(spark, g, [{"pages": [1, 2, 3]}, {"pages": [1, 9]}], tasks)
     assert got[0][0] == "completed" and got[0][1]["pages_done"] == [1, 2, 3] and "page" not in got[0][1] and "chunkIndex" not in got[0][1]
-    assert got[1][0] == "failed" and got[1][2] == "nine"
+    # the failed branch fails its cohort and that the flow; the siblings' pages are there, the loops' own fields are not
+    assert got[1] == ("failed", {"pages": [1, 9], "chunks": [9, 9], "pages_done": [1]}, "nine")
+
+
+def test_siblings_run_on_and_the_failed_cohort_is_folded(spark):
+    g = Graph("g").edge("a", "cell", for_each="items", item="it").chain("cell", "enrich", "j", END).fan_in("j").reduce(out="append", n="add")
+    tasks = {
+        "a": put(n=100),
+        "cell": lambda s: F.when(F.element_at(s, "it") == "2", F.create_map(F.lit("$error"), F.lit('"two"'))).otherwise(F.create_map(F.lit("out"), F.element_at(s, "it"))),
+        "enrich": put(n=1, itCount=7),
+    }
+    got, steps = outcomes(spark, g, [{"items": [1, 2, 3], "n": 5}, {"items": [1, 3]}], tasks)
+    assert got[0] == ("failed", {"items": [1, 2, 3], "n": 107, "out": [1, 3]}, "two")
+    assert got[1] == ("completed", {"items": [1, 3], "n": 102, "out": [1, 3]}, None)
+    assert steps.filter("flow_id = 0 AND node = 'enrich'").count() == 2 and steps.filter("flow_id = 0 AND node = 'j'").count() == 0
+
+
+def test_terminal_merge_reduces_and_type_errors_fail(spark):
+    g = Graph("g").edge("a", "b", for_each="items").chain("b", "j", END).fan_in("j").reduce(n="add", tags="append")
+    value = lambda s: F.element_at(s, "item")
+    got, _ = outcomes(spark, g, [{"items": [1, 2], "n": 10}, {"items": [1, "x"]}, {"items": [1], "n": "text"}, {"items": {"no": "list"}}, {"items": None, "tags": 3}], {"b": put(n=value), "j": put(n=5)})
+    assert got[0] == ("completed", {"items": [1, 2], "n": 18}, None)
+    assert [got[i][0] for i in (1, 2, 3, 4)] == ["failed", "failed", "failed", "completed"]
+    assert got[1][2] == got[2][2] == "reducer 'add' for field 'n': wrong type" and got[3][2] == "forEach field 'items' is not an array"

@@ -1,4 +1,5 @@
-from pyspark.sql import functions as F
+import time
+from datetime import datetime, timedelta, timezone
 
 from braid.streaming import cohorts
 
@@ -37,4 +38,31 @@ def test_upsert_is_idempotent(spark, tmp_path):
 def test_turns(spark):
     df = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "conv_id int, turn int, text string")
     assert {(r["conv_id"], r["turns"], r["last_text"]) for r in cohorts.turns(df).collect()} == {(1, 2, "b"), (2, 1, "c")}
-    assert cohorts.due_work(df.withColumn("step_id", F.col("turn")).withColumn("not_before", F.current_timestamp())).columns[-1] == "not_before"
+
+
+def until(ready, seconds=90):
+    end = time.time() + seconds
+    while not ready():
+        assert time.time() < end
+        time.sleep(0.5)
+
+
+def test_a_step_that_is_not_yet_due_comes_out_later_and_once(spark, tmp_path):
+    path, schema = f"file://{tmp_path}", "step_id long, not_before timestamp, note string"
+    began = datetime.now(timezone.utc)
+    put = lambda rows, name: spark.createDataFrame([(i, began + timedelta(seconds=s), n) for i, s, n in rows], schema).coalesce(1).write.parquet(f"{path}/in/{name}")
+    put([(1, 25, "later"), (2, -5, "now")], "a")
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    q = cohorts.due_work(df).writeStream.format("memory").queryName("due").option("checkpointLocation", f"{path}/ck").start()
+    try:
+        until(lambda: spark.table("due").count())
+        if datetime.now(timezone.utc) < began + timedelta(seconds=20):
+            assert [r["note"] for r in spark.table("due").collect()] == ["now"]
+        put([(1, 25, "again"), (3, -1, "third")], "b")
+        until(lambda: spark.table("due").count() >= 3)
+        assert sorted((r["step_id"], r["note"], r["not_before"].timestamp() - began.timestamp()) for r in spark.table("due").collect())[0][:2] == (1, "later")
+        assert datetime.now(timezone.utc) >= began + timedelta(seconds=25) or spark.table("due").count() < 3
+        time.sleep(2)
+        assert spark.table("due").count() == 3
+    finally:
+        q.stop()

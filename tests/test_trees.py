@@ -41,6 +41,15 @@ def test_resume_and_navigation(spark):
     assert nav == {1: (0, 2), 2: (1, 3), 3: (2, 0), 7: (2, 8), 8: (7, 3)}
 
 
+def test_history_is_nested(spark):
+    flows = spark.createDataFrame([(1, 0), (2, 11), (3, 11), (4, 31)], "flow_id int, surgraph_step_id int")
+    steps = spark.createDataFrame([(10, 1, 1), (11, 1, 2), (20, 2, 1), (30, 3, 2), (31, 3, 1)], "step_id int, flow_id int, step_depth int")
+    rows = trees.history(flows, steps, flows.filter("flow_id = 1"))
+    assert {(r["step_id"], r["level"], r["sub_flow_id"]) for r in rows.collect()} == {(10, 0, None), (11, 0, 3), (31, 1, None), (30, 1, None)}
+    got = {r["root"]: json.loads(r["history"]) for r in trees.nested(rows, ["step_id"]).collect()}
+    assert got == {1: [{"step_id": 10}, {"step_id": 11, "sub_history": [{"step_id": 31}, {"step_id": 30}]}]}
+
+
 def test_subgraph_call(spark):
     child = Graph("child").chain("c", END)
     double = lambda s: F.when(F.element_at(s, "n") == "13", F.create_map(F.lit("$error"), F.lit('"unlucky"'))).otherwise(F.create_map(F.lit("m"), (F.element_at(s, "n").cast("int") * 2).cast("string"), F.lit("private"), F.lit("1")))
