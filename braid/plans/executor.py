@@ -24,6 +24,9 @@ from braid.sources.staging import appended, staged
 
 Task = Callable[[Column], Column]
 
+#: Levels at which no cohort meets, before what waits is written again: until then it is a union of that many staged tables.
+UNSTAGED = 8
+
 _FRAME = "array<struct<spawn:string,ordinal:int>>"
 _LOG = "flow_id long, path string, node string, frames " + _FRAME + ", depth int, state map<string,string>, delta map<string,string>, status string, spawns boolean, arrives boolean, onward boolean"
 _WAITING = "flow_id long, path string, node string, frames " + _FRAME + ", depth int, state map<string,string>, delta map<string,string>"
@@ -96,30 +99,36 @@ def run(graph: Graph, flows: DataFrame, tasks: dict[str, Task], max_levels: int
     log, ends = appended(spark, "log", _LOG), appended(spark, "ends", "flow_id long, status string, error string")
     level = flows.select(F.col("flow_id").cast("long").alias("flow_id"), F.lit(graph.entry).alias("path"), F.lit(graph.entry).alias("node"), F.array().cast(_FRAME).alias("frames"), F.lit(1).alias("depth"), F.coalesce(st.entries(F.col("state")), empty).alias("state"))
     waiting, members = spark.createDataFrame([], _WAITING), spark.createDataFrame([], _MEMBER)
+    # the expressions of a level are the same for every level, so they are built once
+    task_changes = F
+    for node, task in tasks.items():
+        task_changes = task_changes.when(F.col("node") == node, task(F.col("state")))
+    delta = F.coalesce(task_changes.otherwise(empty) if tasks else empty, empty)
+    error, goto = F.element_at("delta", "$error"), sts.text_of(F.element_at("delta", "$goto"))
+    kept = F.when(F.col("error").isNotNull(), empty).otherwise(st.without(F.col("delta"), "$goto", "$error"))
+    following = st.without_deleted(st.overlay(F.col("state"), F.col("delta")))
+    unspread, branches = _unspread(graph, F.col("next"), F.col("goto"), F.col("failed")), _branches(graph, F.col("next"), F.col("goto"), F.col("failed"))
+    spread = F.when(F.col("unspread").isNull(), F.col("branches")).otherwise(F.filter("branches", lambda b: F.lit(False)))
+    handled = F.col("failed") & F.exists("branches", lambda b: b["error"])
+    inside = F.size("frames") > 0
+    spawner = F.col("node").isin(*meets) & ~F.col("failed") & F.col("goto").isNull() & F.col("unspread").isNull()
+    stuck = ~F.col("failed") & (F.size("branches") == 0) & ~spawner & (inside | F.col("goto").isNotNull())  # a dead end inside a cohort, or a goto without its edge
+    broken = stuck | (F.col("failed") & ~handled) | F.col("unspread").isNotNull()
+    into = lambda b: b["target"].isin(*graph.fan_ins, "")
+    flags = {"status": F.when(broken, "failed").otherwise("completed"), "error": F.coalesce("error", "unspread", F.when(stuck, sts.quoted(F.lit("no way on")))), "spawns": spawner, "arrives": F.exists("branches", into), "onward": F.exists("branches", lambda b: ~into(b) & (b["target"] != END))}
+    over = ~inside & ((F.col("status") == "failed") | ~F.col("onward") & ~F.col("spawns"))
+    extra = F.when(F.col("b.each"), F.map_from_arrays(F.array(F.col("b.name"), F.concat(F.col("b.name"), F.lit("Index")), F.concat(F.col("b.name"), F.lit("Count"))), F.array("b.item", F.col("b.at").cast("string"), F.col("b.count").cast("string")))).when(F.col("b.error"), F.create_map(F.lit("onErr"), F.col("error"))).otherwise(empty)
+    pushed = F.concat("frames", F.array(F.struct(F.col("path").alias("spawn"), F.col("ordinal"))))
+    branch = [F.concat("path", F.lit("/"), F.col("b.target"), F.lit("."), F.col("ordinal").cast("string")).alias("path"), F.col("b.target").alias("node"), F.when(F.col("b.push"), pushed).otherwise(F.col("frames")).alias("frames"), (F.col("depth") + 1).alias("depth"), st.overlay(F.col("next"), extra).alias("state")]
     for at in count(1):
-        delta = F
-        for node, task in tasks.items():
-            delta = delta.when(F.col("node") == node, task(F.col("state")))
-        done = level.withColumn("delta", F.coalesce(delta.otherwise(empty) if tasks else empty, empty))
-        error, goto = F.element_at("delta", "$error"), sts.text_of(F.element_at("delta", "$goto"))
-        done = done.withColumn("error", error).withColumn("goto", goto).withColumn("delta", F.when(error.isNotNull(), empty).otherwise(st.without(F.col("delta"), "$goto", "$error"))).withColumn("next", st.without_deleted(st.overlay(F.col("state"), F.col("delta")))).withColumn("failed", F.col("error").isNotNull())
-        done = done.withColumn("unspread", _unspread(graph, F.col("next"), F.col("goto"), F.col("failed"))).withColumn("branches", _branches(graph, F.col("next"), F.col("goto"), F.col("failed")))
-        done = done.withColumn("branches", F.when(F.col("unspread").isNull(), F.col("branches")).otherwise(F.filter("branches", lambda b: F.lit(False))))
-        handled = F.col("failed") & F.exists("branches", lambda b: b["error"])
-        inside = F.size("frames") > 0
-        spawner = F.col("node").isin(*meets) & ~F.col("failed") & F.col("goto").isNull() & F.col("unspread").isNull()
-        stuck = ~F.col("failed") & (F.size("branches") == 0) & ~spawner & (inside | F.col("goto").isNotNull())  # a dead end inside a cohort, or a goto without its edge
-        broken = stuck | (F.col("failed") & ~handled) | F.col("unspread").isNotNull()
-        into = lambda b: b["target"].isin(*graph.fan_ins, "")
-        done = staged(done.withColumns({"status": F.when(broken, "failed").otherwise("completed"), "error": F.coalesce("error", "unspread", F.when(stuck, sts.quoted(F.lit("no way on")))), "spawns": spawner, "arrives": F.exists("branches", into), "onward": F.exists("branches", lambda b: ~into(b) & (b["target"] != END))}), "steps")
+        done = level.withColumn("delta", delta).withColumns({"error": error, "goto": goto}).withColumn("delta", kept).withColumns({"next": following, "failed": F.col("error").isNotNull()})
+        done = done.withColumns({"unspread": unspread, "branches": branches}).withColumn("branches", spread)
+        done = staged(done.withColumns(flags), "steps")
         log.add(done)
         # flows that end here, and branches that go on; those into a fan-in have arrived
-        over = ~inside & ((F.col("status") == "failed") | ~F.col("onward") & ~F.col("spawns"))
         ends.add(done.filter(over).select("flow_id", "status", "error"))
         on = done.filter("status = 'completed'").select("*", F.posexplode("branches").alias("ordinal", "b")).filter((F.col("b.target") != END) & ~F.col("b.target").isin(*graph.fan_ins, ""))
-        extra = F.when(F.col("b.each"), F.map_from_arrays(F.array(F.col("b.name"), F.concat(F.col("b.name"), F.lit("Index")), F.concat(F.col("b.name"), F.lit("Count"))), F.array("b.item", F.col("b.at").cast("string"), F.col("b.count").cast("string")))).when(F.col("b.error"), F.create_map(F.lit("onErr"), F.col("error"))).otherwise(empty)
-        pushed = F.concat("frames", F.array(F.struct(F.col("path").alias("spawn"), F.col("ordinal"))))
-        level = staged(on.select("flow_id", F.concat("path", F.lit("/"), F.col("b.target"), F.lit("."), F.col("ordinal").cast("string")).alias("path"), F.col("b.target").alias("node"), F.when(F.col("b.push"), pushed).otherwise(F.col("frames")).alias("frames"), (F.col("depth") + 1).alias("depth"), st.overlay(F.col("next"), extra).alias("state")), "level")
+        level = staged(on.select("flow_id", *branch), "level")
         if meets:
             # open cohorts: their spawns wait, the changes of their members are kept until they meet
             waiting = waiting.unionByName(done.filter("spawns").select("flow_id", "path", "node", "frames", "depth", "state", "delta"))
@@ -127,26 +136,30 @@ def run(graph: Graph, flows: DataFrame, tasks: dict[str, Task], max_levels: int
             # cohorts of which nothing is under way, innermost first
             busy = level.select("flow_id", F.explode("frames").alias("f")).unionByName(waiting.select("flow_id", F.explode("frames").alias("f"))).select("flow_id", F.col("f.spawn").alias("path")).distinct()
             ready = staged(waiting.join(busy, ["flow_id", "path"], "left_anti"), "ready")
-            cohort = ready.select("flow_id", F.col("path").alias("spawn"))
-            here = staged(members.join(cohort, ["flow_id", "spawn"], "left_semi"), "here")
-            fold = here.filter("status = 'completed'").select("flow_id", "spawn", "o", "delta").unionByName(ready.select("flow_id", F.col("path").alias("spawn"), F.struct(F.lit(-1).alias("ordinal"), "depth", "path").alias("o"), "delta"))
-            merged = sts.reduce_states(ready.select("flow_id", F.col("path").alias("spawn"), F.col("state").alias("base")), fold, ["flow_id", "spawn"], graph.reducers)
-            seen = here.groupBy("flow_id", "spawn").agg(F.max("o.depth").alias("deepest"), F.min_by("error", F.when(F.col("status") == "failed", F.col("o"))).alias("lost"), F.count_if(F.col("status") == "failed").alias("failures"))
-            met = ready.drop("state", "delta").withColumnRenamed("path", "spawn").join(merged, ["flow_id", "spawn"]).join(seen, ["flow_id", "spawn"], "left")
-            met = staged(met.withColumn("error", F.when(F.col("failures") > 0, F.col("lost")).otherwise(F.when(F.col("error").isNotNull(), sts.quoted(F.col("error"))))).withColumn("failed", (F.coalesce("failures", F.lit(0)) > 0) | F.col("error").isNotNull()), "met")
-            meet, names = F, F
-            for source, target in meets.items():
-                meet = meet.when(F.col("node") == source, F.lit(target))
-                names = names.when(F.col("node") == source, F.array(*map(F.lit, spreads.get(source, ()))).cast("array<string>"))
-            met = met.withColumn("names", names.otherwise(F.array().cast("array<string>")))
-            fired = met.filter("NOT failed").select("flow_id", F.concat("spawn", F.lit(">")).alias("path"), meet.alias("node"), "frames", (F.coalesce("deepest", "depth") + 1).alias("depth"), F.map_filter(st.without_deleted(F.col("state")), lambda k, v: ~F.array_contains(F.col("names"), k)).alias("state"))
-            level = staged(level.unionByName(fired), "level")
-            # a cohort that failed fails as a branch of the one around it, or with its flow
-            lost = met.filter("failed")
-            ends.add(lost.filter(~inside).select("flow_id", F.lit("failed").alias("status"), "error"))
-            climbs = lost.filter(inside).select("flow_id", frame["spawn"].alias("spawn"), F.struct(frame["ordinal"].alias("ordinal"), "depth", F.concat("spawn", F.lit("!")).alias("path")).alias("o"), empty.alias("delta"), F.lit("failed").alias("status"), "error")
-            members = staged(members.join(cohort, ["flow_id", "spawn"], "left_anti").unionByName(climbs), "members")
-            waiting = staged(waiting.join(ready.select("flow_id", "path"), ["flow_id", "path"], "left_anti"), "waiting")
+            if ready.isEmpty():
+                if at % UNSTAGED == 0:
+                    members, waiting = staged(members, "members"), staged(waiting, "waiting")
+            else:
+                cohort = ready.select("flow_id", F.col("path").alias("spawn"))
+                here = staged(members.join(cohort, ["flow_id", "spawn"], "left_semi"), "here")
+                fold = here.filter("status = 'completed'").select("flow_id", "spawn", "o", "delta").unionByName(ready.select("flow_id", F.col("path").alias("spawn"), F.struct(F.lit(-1).alias("ordinal"), "depth", "path").alias("o"), "delta"))
+                merged = sts.reduce_states(ready.select("flow_id", F.col("path").alias("spawn"), F.col("state").alias("base")), fold, ["flow_id", "spawn"], graph.reducers)
+                seen = here.groupBy("flow_id", "spawn").agg(F.max("o.depth").alias("deepest"), F.min_by("error", F.when(F.col("status") == "failed", F.col("o"))).alias("lost"), F.count_if(F.col("status") == "failed").alias("failures"))
+                met = ready.drop("state", "delta").withColumnRenamed("path", "spawn").join(merged, ["flow_id", "spawn"]).join(seen, ["flow_id", "spawn"], "left")
+                met = staged(met.withColumn("error", F.when(F.col("failures") > 0, F.col("lost")).otherwise(F.when(F.col("error").isNotNull(), sts.quoted(F.col("error"))))).withColumn("failed", (F.coalesce("failures", F.lit(0)) > 0) | F.col("error").isNotNull()), "met")
+                meet, names = F, F
+                for source, target in meets.items():
+                    meet = meet.when(F.col("node") == source, F.lit(target))
+                    names = names.when(F.col("node") == source, F.array(*map(F.lit, spreads.get(source, ()))).cast("array<string>"))
+                met = met.withColumn("names", names.otherwise(F.array().cast("array<string>")))
+                fired = met.filter("NOT failed").select("flow_id", F.concat("spawn", F.lit(">")).alias("path"), meet.alias("node"), "frames", (F.coalesce("deepest", "depth") + 1).alias("depth"), F.map_filter(st.without_deleted(F.col("state")), lambda k, v: ~F.array_contains(F.col("names"), k)).alias("state"))
+                level = staged(level.unionByName(fired), "level")
+                # a cohort that failed fails as a branch of the one around it, or with its flow
+                lost = met.filter("failed")
+                ends.add(lost.filter(~inside).select("flow_id", F.lit("failed").alias("status"), "error"))
+                climbs = lost.filter(inside).select("flow_id", frame["spawn"].alias("spawn"), F.struct(frame["ordinal"].alias("ordinal"), "depth", F.concat("spawn", F.lit("!")).alias("path")).alias("o"), empty.alias("delta"), F.lit("failed").alias("status"), "error")
+                members = staged(members.join(cohort, ["flow_id", "spawn"], "left_anti").unionByName(climbs), "members")
+                waiting = staged(waiting.join(ready.select("flow_id", "path"), ["flow_id", "path"], "left_anti"), "waiting")
         if level.isEmpty() and waiting.isEmpty():
             break
         if at == max_levels:
