@@ -21,6 +21,28 @@ def claimed(steps: DataFrame, due: Column, now: datetime) -> DataFrame:
     }).drop("due_")
 
 
+def fenced(steps: DataFrame, writes: DataFrame) -> DataFrame:
+    """Steps with the changes of the attempt that holds their lease; writes of older attempts and to cancelled steps are void.
+
+    writes: step_id, lease_seq, changes, written_at; of writes that were repeated under one lease the first counts.
+    """
+    first = writes.groupBy("step_id", "lease_seq").agg(F.min_by(F.struct("changes"), F.struct("written_at", "changes")).alias("w_"))
+    out = steps.join(first, ["step_id", "lease_seq"], "left")
+    take = F.col("w_").isNotNull() & ~sc.is_terminal(F.col("status"))
+    return out.withColumns({"changes": F.when(take, F.col("w_.changes")).otherwise(F.col("changes")), "status": F.when(take, "completed").otherwise(F.col("status"))}).drop("w_")
+
+
+def signal_error(task: Column, interrupt: Column, retry: Column, goto: Column, call: Column, parked_before: Column) -> Column:
+    """Error of a step that asks for more than one of four things, or to park again after it was resumed; else null.
+
+    All but ``task`` are flags; a null flag counts as not set.
+    """
+    flags = [F.coalesce(c, F.lit(False)) for c in (interrupt, retry, goto, call)]
+    asked = sum((c.cast("int") for c in flags[1:]), flags[0].cast("int"))
+    again = (flags[0] | flags[3]) & F.coalesce(parked_before, F.lit(False))
+    return F.when(asked > 1, F.concat(F.lit("several signals at once in "), task)).when(again, F.concat(F.lit("a second park in "), task))
+
+
 def cancelled(flows: DataFrame, subtree: DataFrame, reason: str = "") -> DataFrame:
     """Flows with the live ones of a subtree (shard, flow_id) cancelled; ended ones stay as they are."""
     hit = subtree.select("shard", "flow_id").distinct().withColumn("hit_", F.lit(True))

@@ -72,11 +72,16 @@ def summaries(flows: DataFrame) -> DataFrame:
     return out.withColumn("trace_id", sc.trace_id(F.coalesce("trace_parent", F.lit("")))).drop("flow_token", "trace_parent")
 
 
-def of_thread(flows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The flows of the threads that flow keys (key) belong to, each on its key's shard; keys of no flow find nothing."""
+def of_keys(flows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The flows that flow keys (key) name, each on its key's shard."""
     k = F.col("key")
     asked = keys.select(sc.key_shard(k).alias("shard"), sc.key_id(k).alias("flow_id"), sc.key_token(k).alias("flow_token"))
-    threads = flows.join(asked, ["shard", "flow_id", "flow_token"], "left_semi").select("shard", "thread_id").distinct()
+    return flows.join(asked, ["shard", "flow_id", "flow_token"], "left_semi")
+
+
+def of_thread(flows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The flows of the threads that flow keys (key) belong to, each on its key's shard; keys of no flow find nothing."""
+    threads = of_keys(flows, keys).select("shard", "thread_id").distinct()
     return flows.join(threads, ["shard", "thread_id"], "left_semi")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braid.sources.staging import small
+
 
 def when_edges(steps: DataFrame, edges: Sequence[tuple[str, Column | None]], target: str = "target") -> DataFrame:
     """A row for every edge whose predicate holds (none: always), with its target and ordinal. One scan for all edges.
@@ -31,7 +33,7 @@ def switch_edge(steps: DataFrame, edges: Sequence[tuple[str, Column]], target: s
 def goto_edges(steps: DataFrame, wanted: str, edges: DataFrame, target: str = "target", error: str = "error") -> DataFrame:
     """Rows that ask for a goto get its target; an edge that does not exist fails the step. edges: (from_task, to_task)."""
     known = edges.select(F.col("from_task").alias("f_"), F.col("to_task").alias("t_"))
-    out = steps.join(F.broadcast(known), (F.col("task_name") == F.col("f_")) & (F.col(wanted) == F.col("t_")), "left")
+    out = steps.join(small(known, "edges"), (F.col("task_name") == F.col("f_")) & (F.col(wanted) == F.col("t_")), "left")
     return out.select(*steps.columns, F.col("t_").alias(target), F.when(F.col(wanted).isNotNull() & F.col("t_").isNull(), F.concat(F.lit("no goto edge to "), F.col(wanted))).alias(error))
 
 

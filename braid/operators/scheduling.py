@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braid.functions import scalars as sc
+from braid.sources.staging import small
 
 
 def due(now: datetime) -> Column:
@@ -59,7 +60,7 @@ def scan_band(steps: DataFrame, capacity: int, keep: Column | None = None) -> Da
 def fetch_steps(steps: DataFrame, wanted: DataFrame, per_key: int) -> DataFrame:
     """The oldest ``per_key`` steps of each wanted key (fairness_key, priority) at its band."""
     at = Window.partitionBy("fairness_key").orderBy("created_at", "step_id")
-    rows = steps.join(F.broadcast(wanted.select("fairness_key", "priority")), ["fairness_key", "priority"], "left_semi")
+    rows = steps.join(small(wanted.select("fairness_key", "priority"), "wanted"), ["fairness_key", "priority"], "left_semi")
     return rows.withColumn("rn", F.row_number().over(at)).filter(F.col("rn") <= per_key)
 
 
@@ -70,6 +71,15 @@ def merge_tallies(tallies: DataFrame) -> DataFrame:
     return rows.groupBy("fairness_key", "priority").agg(F.sum("n").alias("n"), first.alias("f_")).select("fairness_key", "priority", "n", F.col("f_.oldest").alias("oldest"), F.col("f_.weight").alias("weight"))
 
 
+def last_reports(reports: DataFrame) -> DataFrame:
+    """The rows of each shard's last scan; a last scan that failed clears what the shard reported before.
+
+    reports: shard, scan (rises), ok, and the columns of a tally (null in the one row of a failed scan).
+    """
+    newest = reports.groupBy("shard").agg(F.max("scan").alias("scan"))
+    return reports.join(newest, ["shard", "scan"], "left_semi").filter("ok")
+
+
 def pick(keys: list[tuple[str, int, float]], capacity: int, rng) -> list[str]:
     """A key for each slot, drawn by weight among those with steps left (rng: random() in 0..1).
 
@@ -90,7 +100,7 @@ def slice_plan(tallies: DataFrame, slots: DataFrame) -> DataFrame:
     tallies: (shard, fairness_key, n, oldest); slots: (fairness_key, slots). Ties go to the lower shard.
     """
     key = Window.partitionBy("fairness_key")
-    rows = tallies.join(F.broadcast(slots), "fairness_key").filter((F.col("n") > 0) & (F.col("slots") > 0))
+    rows = tallies.join(small(slots, "slots"), "fairness_key").filter((F.col("n") > 0) & (F.col("slots") > 0))
     rows = rows.withColumn("slots", F.least("slots", F.sum("n").over(key)))
     rows = rows.withColumn("head", F.row_number().over(key.orderBy("oldest", "shard")) == 1)
     rows = rows.withColumn("left", F.col("n") - F.col("head").cast("int")).withColumn("rem", F.col("slots") - 1).withColumn("total", F.sum("left").over(key))

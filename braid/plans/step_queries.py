@@ -270,3 +270,35 @@ def raw_fields(spark, sf_dir):
     n = F.pmod("event_id", F.lit(50)) + 1
     every = sc.refill_interval(n.cast("double"), F.lit(2.0), F.lit(4.0), (F.pmod("event_id", F.lit(3)) + 1).cast("double"))
     return read(spark, sf_dir, "events").select("event_id", st.raw(F.col("props"), "k").alias("k"), sc.storable(F.concat("event_type", F.lit("\x00x"))).alias("clean"), every.alias("every"))
+
+
+# ---------------------------------------------------------------- fencing, signal guards, reports
+
+
+@query("""SELECT event_id AS step_id, CASE WHEN event_type = 'error' THEN 'cancelled' WHEN user_id % 3 = event_id % 3 THEN 'completed' ELSE 'running' END AS status,
+ CASE WHEN event_type <> 'error' AND user_id % 3 = event_id % 3 THEN 'c' || event_id END AS changes FROM events""")
+def fenced_writes(spark, sf_dir):
+    """Every event is written twice under a lease of its own, and once under an older one."""
+    e = read(spark, sf_dir, "events")
+    held = e.select(F.col("event_id").alias("step_id"), F.pmod("user_id", F.lit(3)).alias("lease_seq"), F.when(F.col("event_type") == "error", "cancelled").otherwise("running").alias("status"), F.lit(None).cast("string").alias("changes"))
+    write = lambda mark, late, older: e.select(F.col("event_id").alias("step_id"), (F.pmod("event_id", F.lit(3)) - older).alias("lease_seq"), F.concat(F.lit(mark), F.col("event_id").cast("string")).alias("changes"), (F.col("event_id") + late).alias("written_at"))
+    writes = write("c", 0, 0).unionByName(write("d", 1, 0)).unionByName(write("old", 0, 3))
+    return lc.fenced(held, writes).select("step_id", "status", "changes")
+
+
+@query("""SELECT event_id AS step_id, CASE WHEN (event_id % 2 = 0)::int + (event_id % 3 = 0)::int + (event_type = 'error')::int + (event_id % 7 = 0)::int > 1 THEN 'several signals at once in ' || event_type
+ WHEN (event_id % 2 = 0 OR event_id % 7 = 0) AND user_id % 2 = 0 THEN 'a second park in ' || event_type END AS error FROM events""")
+def signal_guards(spark, sf_dir):
+    """X5."""
+    every = lambda n: F.pmod("event_id", F.lit(n)) == 0
+    error = lc.signal_error(F.col("event_type"), every(2), every(3), F.col("event_type") == "error", every(7), F.pmod("user_id", F.lit(2)) == 0)
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("step_id"), error.alias("error"))
+
+
+@query("""WITH r AS (SELECT user_id % 4 AS shard, event_id // 7 AS scan, event_type AS fairness_key, count(*) AS n FROM events GROUP BY ALL)
+ SELECT shard, scan, fairness_key, n FROM r WHERE scan = (SELECT max(scan) FROM r x WHERE x.shard = r.shard) AND (scan + shard) % 3 <> 1""")
+def shard_reports(spark, sf_dir):
+    """The last scan of each shard; failed scans clear."""
+    e = read(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(4)).alias("shard"), F.floor(F.col("event_id") / 7).alias("scan"), F.col("event_type").alias("fairness_key"))
+    r = e.groupBy("shard", "scan", "fairness_key").agg(F.count(F.lit(1)).alias("n")).withColumn("ok", F.pmod(F.col("scan") + F.col("shard"), F.lit(3)) != 1)
+    return sch.last_reports(r).select("shard", "scan", "fairness_key", "n")

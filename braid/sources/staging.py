@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -34,6 +35,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a side that is known to be small: only up to here is it sent to every executor.
+MAX_BROADCAST = 100_000
+
+
+def small(df: DataFrame, name: str, limit: int | None = None) -> DataFrame:
+    """``df`` staged, and broadcast in joins if it has at most ``limit`` (MAX_BROADCAST) rows; else Catalyst chooses."""
+    out = staged(df, name)
+    return F.broadcast(out) if out.count() <= (MAX_BROADCAST if limit is None else limit) else out
+
+
 class appended:
     """A table in the shared folder that grows by whole batches; what is there already is never written again."""
 
