@@ -13,9 +13,8 @@ cover AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(3) x(k) GROUP B
 base AS (SELECT w.r, doc_id, host, text, ls, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cover ON cover.r = w.r),
 texts AS (SELECT DISTINCT host, text FROM documents_ ),
-hosts AS (SELECT host, count(*) AS docs FROM texts GROUP BY host),
 lines AS (SELECT host, text, l, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS h FROM (SELECT host, text, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS l FROM texts WHERE text IS NOT NULL)),
-freq AS (SELECT f.host, h FROM (SELECT host, h, count(DISTINCT text) AS n FROM lines GROUP BY ALL) f JOIN hosts ON hosts.host IS NOT DISTINCT FROM f.host WHERE n > 10 AND n > docs * 0.02),
+freq AS (SELECT f.host, h FROM (SELECT host, h, count(DISTINCT text) AS n FROM lines GROUP BY ALL) f WHERE n > 10),
 lost AS (SELECT host, text, sum(len({_WORDS.format('l')}))::BIGINT AS removed_words, count(*) AS removed_lines FROM lines x WHERE EXISTS (SELECT 1 FROM freq f WHERE f.h = x.h AND f.host IS NOT DISTINCT FROM x.host) GROUP BY ALL),
 out AS (SELECT base.*, coalesce(removed_words, 0) AS removed_words, coalesce(removed_lines, 0) AS removed_lines FROM base LEFT JOIN lost ON lost.host IS NOT DISTINCT FROM base.host AND lost.text IS NOT DISTINCT FROM base.text)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

@@ -1,4 +1,6 @@
+import math
 from collections import Counter
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +27,45 @@ def test_grammar(clause, matches):
     assert Counter(k for k, _ in G.machine.read((w, G.symbol(w)) for w in op.WORD.findall(clause))) == Counter(matches)
 
 
+def plain_matches(symbols):
+    """What the rules of the docstring say of each word, found by looking back over the clause."""
+
+    def hushed(i):
+        if "negation" in symbols[max(0, i - op.REACH) : i]:
+            return "negated"
+        return "reported" if "speech" in symbols[:i] else None
+
+    out = []
+    for i, s in enumerate(symbols):
+        before = symbols[max(0, i - op.REACH) : i]
+        if s in ("insult", "threat") and hushed(i):
+            out.append(hushed(i))
+        elif s == "insult":
+            out.append("directed" if "target" in before else "insult")
+        elif s == "target":
+            since = max((j for j in range(i) if symbols[j] == "target"), default=-1)
+            if any(symbols[j] == "threat" and not hushed(j) for j in range(max(since + 1, i - op.REACH), i)):
+                out.append("aimed")
+    return out
+
+
+def test_machine_equals_the_rules_on_all_short_clauses():
+    kinds = ("insult", "threat", "target", "negation", "speech", "other")
+    for n in range(1, 7):
+        for symbols in product(kinds, repeat=n):
+            assert [k for k, _ in G.machine.read((s, s) for s in symbols)] == plain_matches(symbols), symbols
+
+
+def test_score_equals_plain_sum():
+    g = op.Grammar({"idiot": 4.0, "fool": 2.5}, {"morono": 3.0}, {"bias": -2.0, "directed": 1.5, "negated": -0.5})
+    weights = {"insult": [2.5], "directed": [4.0, 4.0], "negated": [4.0], "reported": [3.0], "aimed": [op.THREAT_WEIGHT]}
+    text = "You idiot, you idiot. A fool fool; he is not an idiot! They said moronostic things\nWe will kill you"
+    want = g.factors["bias"] + sum(g.factors[k] * sum(w) for k, w in weights.items())
+    assert math.isclose(g.score(g.clauses(text)), 1 / (1 + math.exp(-want)))
+    many = g.sums(g.clauses("you idiot. " * 9))
+    assert many["directed"] == op.CEILING and g.score([]) == 1 / (1 + math.exp(2.0))
+
+
 def test_clauses_not_words():
     whole = G.clauses("He wrote to me, you idiot. Nothing more\nnot an idiot; fine")
     assert whole == [("you idiot", [("directed", "idiot")]), ("not an idiot", [("negated", "idiot")])]
