@@ -23,7 +23,7 @@ def rows(df):
     def plain(x):
         if isinstance(x, (list, tuple)):
             return str(list(x))
-        if x is None or x != x or x is pd.NaT:
+        if x is None or x is pd.NA or x is pd.NaT or x != x:
             return None
         return round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
