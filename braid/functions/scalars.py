@@ -62,8 +62,14 @@ def add_millis(ts: Column, ms: Column) -> Column:
     return F.timestamp_millis(F.unix_millis(ts.cast("timestamp")) + ms)
 
 
+def epoch_millis(ts: Column) -> Column:
+    """Whole milliseconds since 1970, to the nearest one (halves away from zero) as SQL's epoch_ms has them."""
+    us = F.unix_micros(ts.cast("timestamp"))
+    return F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000))
+
+
 def diff_millis(a: Column, b: Column) -> Column:
-    return F.unix_millis(a.cast("timestamp")) - F.unix_millis(b.cast("timestamp"))
+    return epoch_millis(a) - epoch_millis(b)
 
 
 def backoff(initial_ms: Column, factor: Column, attempt: Column, cap_ms: Column) -> Column:

@@ -151,7 +151,7 @@ def earliest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
 def fingerprint(steps: DataFrame, keys: list[str]) -> DataFrame:
     """A digest of (status, number, last update) that changes whenever a step of the group does."""
     out = steps.groupBy(*keys).agg(F.max("status").alias("status"), F.count(F.lit(1)).alias("n"), F.max("updated_at").alias("last"))
-    return out.select(*keys, F.sha2(F.concat_ws("|", "status", F.col("n").cast("string"), F.unix_millis(F.col("last").cast("timestamp")).cast("string")), 256).alias("fingerprint"))
+    return out.select(*keys, F.sha2(F.concat_ws("|", "status", F.col("n").cast("string"), sc.epoch_millis(F.col("last")).cast("string")), 256).alias("fingerprint"))
 
 
 # ---- trees

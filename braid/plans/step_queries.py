@@ -213,7 +213,7 @@ def heartbeats(spark, sf_dir):
     """Beats upserted in two lots, then the stale replicas pruned."""
     b = _beats(spark, sf_dir)
     now = tables.beats(b.filter("event_id % 2 = 0").drop("event_id"), b.filter("event_id % 2 = 1").drop("event_id"))
-    return tables.pruned(now, datetime(2024, 1, 5), 2 * _DAY).select("engine_id", F.unix_seconds("seen_at").alias("seen"))
+    return tables.pruned(now, datetime(2024, 1, 5), 2 * _DAY).select("engine_id", F.call_function("div", sc.epoch_millis(F.col("seen_at")), F.lit(1000)).alias("seen"))
 
 
 @query(f"""WITH p AS (SELECT user_id AS id, epoch_ms({_AT}) - epoch_ms(max(ts)) AS seen, epoch_ms({_AT}) - epoch_ms(max(CASE WHEN event_type = 'click' THEN ts END)) AS sent FROM events GROUP BY 1),

@@ -134,3 +134,24 @@ def test_slices_and_placement(spark):
     assert 0.2 < n[1] / 20000 < 0.3
     best = sch.best_candidate(spark.createDataFrame([(1, 2, 9), (2, 1, 3), (3, 1, 5), (4, 1, 5)], "shard int, band int, depth int"))
     assert best.first()["shard"] == 3
+
+
+def test_milliseconds_are_those_of_sql(spark):
+    import duckdb
+
+    us = [0, 499, 500, 999, 1500, -1, -499, -500, -501, -1500, 1706654933999959, None]
+    got = spark.createDataFrame([(i, u) for i, u in enumerate(us)], "i int, us long").select("i", sc.epoch_millis(F.timestamp_micros("us")).alias("ms"))
+    assert {r["i"]: r["ms"] for r in got.collect()} == {i: None if u is None else duckdb.execute("SELECT epoch_ms(make_timestamp(?::BIGINT))", [u]).fetchone()[0] for i, u in enumerate(us)}
+
+
+def test_heartbeats_round_to_the_nearest_millisecond(spark, tmp_path):
+    import duckdb
+
+    from braid.plans import step_queries  # noqa: F401
+    from braid.plans.queries import ORACLES, QUERIES
+
+    rows = [(0, datetime(2024, 1, 30, 22, 48, 53, 999959), 318), (1, datetime(2024, 1, 2, 23, 59, 59, 999500), 1), (2, datetime(2024, 1, 2, 23, 59, 59, 999499), 2)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").withColumn("event_type", F.lit("view")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES["heartbeats"](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLES["heartbeats"]).fetchall())
