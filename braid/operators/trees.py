@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braid.operators.relational import descendants, earliest
-from braid.sources.staging import staged
+from braid.sources.staging import by_key, staged
 
 
 def ancestors(edges: DataFrame, starts: DataFrame, parent: str, child: str, max_depth: int | None = None) -> DataFrame:
@@ -42,10 +42,18 @@ def fork(steps: DataFrame, at: int, overrides: dict[str, str], next_id: int) ->
 
 
 def recounted(spawns: DataFrame, members: DataFrame, rewound: DataFrame) -> DataFrame:
-    """Cohort counters of a fork: arrivals and failures of the branches that do not hold the rewound step."""
-    others = members.join(rewound.select("lineage_id", "fan_out_ordinal"), ["lineage_id", "fan_out_ordinal"], "left_anti")
-    counts = others.groupBy("lineage_id").agg(F.countDistinct("fan_out_ordinal").alias("cohort_arrivals"), F.count_if(F.col("status") == "failed").alias("cohort_failures"))
-    return spawns.select("lineage_id").join(counts, "lineage_id", "left").fillna(0)
+    """Cohort counters of a fork: arrivals and failures of the branches that do not hold the rewound step.
+
+    One row for each lineage_id of spawns, however often it is there; a member without an ordinal is no branch. What belongs
+    to a cohort meets in one task after a single shuffle, in partitions of bounded size.
+    """
+    branch, is_ = ["lineage_id", "fan_out_ordinal"], lambda k: F.col("kind") == k
+    rows = members.select(*branch, F.when(F.col("status") == "failed", "failed").otherwise("member").alias("kind")).filter("fan_out_ordinal IS NOT NULL")
+    rows = rows.unionByName(rewound.select(*branch, F.lit("rewound").alias("kind"))).unionByName(spawns.select("lineage_id", F.lit(None).cast(members.schema["fan_out_ordinal"].dataType).alias("fan_out_ordinal"), F.lit("spawn").alias("kind")))
+    branches = by_key(rows, "lineage_id").groupBy(*branch).agg(F.count_if(is_("failed")).alias("failed"), F.bool_or(is_("failed") | is_("member")).alias("arrived"), F.bool_or(is_("rewound")).alias("rewound"), F.bool_or(is_("spawn")).alias("spawn"))
+    counts = F.col("arrived") & ~F.col("rewound")
+    out = branches.groupBy("lineage_id").agg(F.count_if(counts).alias("cohort_arrivals"), F.sum(F.when(counts, F.col("failed")).otherwise(0)).alias("cohort_failures"), F.bool_or("spawn").alias("spawn"))
+    return out.filter("spawn").drop("spawn")
 
 
 def resumed(steps: DataFrame, data: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def resumes(spark, sf_dir):
 def fork_recount(spark, sf_dir):
     """Counters of each cohort without the branch that holds the rewound step."""
     m = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("lineage_id"), F.col("l_linenumber").alias("fan_out_ordinal"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("completed").alias("status"))
-    return trees.recounted(m.select("lineage_id").distinct(), m, m.filter("fan_out_ordinal = 2").select("lineage_id", "fan_out_ordinal"))
+    return trees.recounted(m.select("lineage_id"), m, m.filter("fan_out_ordinal = 2").select("lineage_id", "fan_out_ordinal"))
 
 
 @query(f"""WITH {FLOWS} SELECT flow_id, CASE WHEN status IN ('completed', 'failed', 'cancelled') THEN CASE WHEN flow_id % 2 = 0 THEN 'f' || flow_id ELSE '{{}}' END WHEN status = 'interrupted' AND flow_id % 3 = 0 THEN 'l' || flow_id ELSE '{{}}' END AS snapshot FROM flows""")

@@ -45,6 +45,16 @@ def small(df: DataFrame, name: str, limit: int | None = None) -> DataFrame:
     return F.broadcast(out) if out.count() <= (MAX_BROADCAST if limit is None else limit) else out
 
 
+#: Rows that a task takes of a table that is shuffled by ``by_key``.
+ROWS_A_TASK = 500_000
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` shuffled by ``keys`` into as many partitions as its rows need. By itself Spark fills a task by compressed bytes,
+    so that sorted keys make tasks of tens of millions of rows. The rows are counted first."""
+    return df.repartition(max(1, -(-df.count() // ROWS_A_TASK)), *keys)
+
+
 class appended:
     """A table in the shared folder that grows by whole batches; what is there already is never written again."""
 

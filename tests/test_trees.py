@@ -57,3 +57,18 @@ def test_subgraph_call(spark):
     rows = spark.createDataFrame([(1, '{"x":4}'), (2, '{"x":13}')], "flow_id long, state string")
     got = {x["flow_id"]: (json.loads(x["state"]), x["error"]) for x in r.call("child", rows, {"n": "x"}, {"y": "m"}).collect()}
     assert got == {1: ({"x": 4, "y": 8}, None), 2: ({"x": 13}, "unlucky")}
+
+
+def test_recount_bounds_the_rows_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr("braid.sources.staging.ROWS_A_TASK", 500, raising=False)
+    m = spark.range(6000).select((F.col("id") / 4).cast("long").alias("lineage_id"), (F.col("id") % 4).cast("int").alias("fan_out_ordinal"), F.when(F.col("id") % 3 == 0, "failed").otherwise("completed").alias("status"))
+    out = trees.recounted(m.select("lineage_id").distinct(), m, m.filter("fan_out_ordinal = 2").select("lineage_id", "fan_out_ordinal"))
+    assert max(out.rdd.glom().map(len).collect()) <= 400
+    want = {k: (3, sum(i % 3 == 0 for i in range(4 * k, 4 * k + 4) if i % 4 != 2)) for k in range(1500)}
+    assert {r[0]: (r[1], r[2]) for r in out.collect()} == want
+
+
+def test_recount_of_missing_keys(spark):
+    m = spark.createDataFrame([(None, 1, "failed"), (None, 2, "failed"), (5, None, "failed"), (5, 2, "failed"), (5, 3, "completed"), (5, 3, "failed")], "lineage_id long, fan_out_ordinal int, status string")
+    got = trees.recounted(m.select("lineage_id").distinct(), m, m.filter("fan_out_ordinal = 2").select("lineage_id", "fan_out_ordinal"))
+    assert {tuple(r) for r in got.collect()} == {(None, 1, 1), (5, 1, 1)}  # as the SQL of fork_recount counts them
