@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braid.functions import scalars as sc
-from braid.sources.staging import staged
+from braid.sources.staging import MAX_BROADCAST, batches, by_key, staged
 
 DEFAULT_LIMIT = 100
 
@@ -157,27 +157,52 @@ def fingerprint(steps: DataFrame, keys: list[str]) -> DataFrame:
 # ---- trees
 
 
+def _form(links: DataFrame) -> tuple[str, DataFrame]:
+    """("forest", links) if no node has two parents, ("chains", links) if none has two children, else ("graph", links)."""
+    to_child = staged(by_key(links, "c_").groupBy("c_").agg(F.min("p_").alias("p_"), F.max("p_").alias("q_")), "links")
+    if to_child.filter("p_ <> q_").isEmpty():
+        return "forest", to_child.select("p_", "c_")
+    to_parent = staged(by_key(links, "p_").groupBy("p_").agg(F.min("c_").alias("c_"), F.max("c_").alias("q_"), F.bool_or(F.col("c_").isNull()).alias("none_")), "links")
+    if to_parent.filter("c_ <> q_ OR none_").isEmpty():
+        return "chains", to_parent.select("p_", "c_")
+    return "graph", links
+
+
 def descendants(edges: DataFrame, roots: DataFrame, parent: str, child: str, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth) below each root, level by level; a level that finds nothing new ends it.
 
-    A stated ``max_depth`` that is reached with nodes below it is an error.
-
-    edges and roots are read once a level; each level joins only the frontier. Cycles end, as visited nodes drop out.
+    A stated ``max_depth`` that is reached with nodes below it is an error. Each level joins only the frontier with the
+    edges, and a small frontier (counted) is broadcast. Cycles end: where no node has two parents, only the root itself can
+    come up again; where none has two children, each walk remembers the node at the last depth that is a power of two, ends
+    when that comes up again, and the least depth of each node counts. Only in other graphs, or with ``max_depth``, is each
+    level held against all nodes that were visited.
     """
-    links = edges.select(F.col(parent).alias("p_"), F.col(child).alias("c_"))
-    level = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node")).withColumn("depth", F.lit(0))
-    seen = level
+    spark, links = edges.sparkSession, edges.select(F.col(parent).alias("p_"), F.col(child).alias("c_"))
+    top = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node")).withColumn("depth", F.lit(0))
+    form, links = ("graph", links) if max_depth is not None else _form(links)
+    level, size, levels, closed = top.distinct().withColumn("mark", F.col("root")), None, batches(spark, "levels"), 0
     for d in count(1):
-        found = level.join(links, F.col("node") == F.col("p_")).select("root", F.col("c_").alias("node"), F.lit(d).alias("depth")).distinct()
-        level = staged(found.join(seen.select("root", "node"), ["root", "node"], "left_anti"), "level")
-        if level.isEmpty():
+        near = F.broadcast(level) if size is not None and size <= MAX_BROADCAST else level
+        found = near.join(links, F.col("node") == F.col("p_"))
+        if form == "graph":
+            seen = top if d == 1 else top.unionByName(levels.read().select(*top.columns))
+            found = found.select("root", F.col("c_").alias("node"), F.lit(d).alias("depth"), "mark", F.lit(False).alias("closed")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        else:
+            found = found.select("root", F.col("c_").alias("node"), F.lit(d).alias("depth"), "mark", F.coalesce(F.col("c_") == F.col("mark"), F.lit(False)).alias("closed"))
+        level = levels.add(found)
+        size, ended = level.agg(F.count_if(~F.col("closed")), F.count_if("closed")).first()
+        closed += ended
+        if not size:
             break
         if max_depth is not None and d > max_depth:
             raise ValueError(f"nodes lie below depth {max_depth}")
-        seen = seen.unionByName(level)
-        if d % 16 == 0:  # so that plans of deep trees stay short
-            seen = staged(seen, "seen")
-    return seen
+        level = level.filter(~F.col("closed")).drop("closed")
+        if form == "chains" and d & (d - 1) == 0:
+            level = level.withColumn("mark", F.col("node"))
+    below = levels.read().filter(~F.col("closed")).select(*top.columns)
+    if form == "chains" and closed:
+        below = below.groupBy("root", "node").agg(F.min("depth").alias("depth")).filter(F.col("root") != F.col("node"))
+    return top.unionByName(below)
 
 
 # ---- detectors

@@ -68,3 +68,19 @@ class appended:
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
+
+
+class batches:
+    """Tables of one schema in the shared folder, a folder for each round; each is written once, and all are read as one."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths, self.schema = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", [], None
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        self.schema = self.schema or rows.schema
+        self.paths.append(f"{self.name}/{len(self.paths)}")
+        rows.select(*self.schema.names).write.parquet(self.paths[-1])
+        return self.spark.read.schema(self.schema).parquet(self.paths[-1])
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)

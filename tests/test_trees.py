@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from braid.operators import relational as rel
 from braid.operators import trees
 from braid.plans.graph import END, Graph
 from braid.plans.registry import Registry
@@ -72,3 +73,35 @@ def test_recount_of_missing_keys(spark):
     m = spark.createDataFrame([(None, 1, "failed"), (None, 2, "failed"), (5, None, "failed"), (5, 2, "failed"), (5, 3, "completed"), (5, 3, "failed")], "lineage_id long, fan_out_ordinal int, status string")
     got = trees.recounted(m.select("lineage_id").distinct(), m, m.filter("fan_out_ordinal = 2").select("lineage_id", "fan_out_ordinal"))
     assert {tuple(r) for r in got.collect()} == {(None, 1, 1), (5, 1, 1)}  # as the SQL of fork_recount counts them
+
+
+def _walked(edges, starts):
+    """(root, node): least depth, by brute force."""
+    out = {}
+    for s in starts:
+        level, d = {s}, 0
+        while level:
+            out.update({(s, n): d for n in level})
+            level, d = {c for n in level for p, c in edges if p == n and (s, c) not in out}, d + 1
+    return out
+
+
+def test_walks_of_all_forms_equal_brute_force(spark):
+    forest = [(i // 2, i) for i in range(2, 40)] + [(101, 102), (102, 103), (103, 101), (102, 104), (104, 105)]
+    chains = [(c, p) for p, c in forest if c < 40] + [(60, 61), (61, 62), (62, 63), (63, 64), (64, 65), (65, 66), (66, 64), (70, 71), (71, 70), (80, 80)]
+    graph = [(1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (4, 5), (3, 5), (5, 6), (6, 6)]
+    for form, edges in (("forest", forest), ("chains", chains), ("graph", graph)):
+        starts = sorted({n for e in edges for n in e})
+        df = spark.createDataFrame(edges + edges[:3], "p long, c long")
+        assert rel._form(df.select(F.col("p").alias("p_"), F.col("c").alias("c_")))[0] == form
+        got = rel.descendants(df, spark.createDataFrame([(s,) for s in starts], "id long"), "p", "c").collect()
+        assert {(r["root"], r["node"]): r["depth"] for r in got} == _walked(edges, starts) and len(got) == len(_walked(edges, starts))
+
+
+def test_levels_of_trees_are_not_held_against_all_visited_nodes(spark, monkeypatch):
+    edges = spark.createDataFrame([(i // 2, i) for i in range(2, 200)], "p long, c long").coalesce(1)
+    plans = []
+    write = rel.batches.add
+    monkeypatch.setattr(rel.batches, "add", lambda self, rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(self, rows))
+    rel.descendants(edges, spark.createDataFrame([(1,), (3,)], "id long"), "p", "c").count()
+    assert len(plans) == 8 and not any("LeftAnti" in p for p in plans)
