@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,43 @@ def ancestors(edges: DataFrame, starts: DataFrame, parent: str, child: str, max_
     return descendants(edges.select(F.col(child).alias(parent), F.col(parent).alias(child)), starts, parent, child, max_depth)
 
 
+def heights(edges: DataFrame, starts: DataFrame, parent: str, child: str) -> DataFrame:
+    """(root, depth): how many parents lie above each start, without the list of them; one row for each distinct start.
+
+    Where every node has one parent at most, jumps are doubled over the nodes that are parents themselves: a chain of n takes
+    log2(n) rounds, each a join of those nodes. Other graphs, and those with cycles, are walked by ``ancestors``.
+    """
+    ids = starts.select(F.col(starts.columns[0]).alias("root")).distinct()
+    up = by_key(edges.select(F.col(child).alias("id"), F.col(parent).alias("to")).filter("id IS NOT NULL AND to IS NOT NULL"), "id")
+    up = staged(up.groupBy("id").agg(F.min("to").alias("to"), F.max("to").alias("q_")), "up")
+    walked = lambda: ancestors(edges, starts, parent, child).groupBy("root").agg(F.max("depth").alias("depth"))
+    if not up.filter("to <> q_").isEmpty():
+        return walked()
+    up = up.drop("q_")
+    # nodes without children are looked up by nobody
+    active = staged(up.join(up.select(F.col("to").alias("id")).distinct(), "id", "left_semi").withColumn("d", F.lit(1)), "jumps")
+    over, nodes = [], active.count()
+    left = nodes
+    for most in count():
+        if not left:
+            break
+        if 2**most > 2 * nodes:  # longer than all nodes in a row: a cycle
+            return walked()
+        table = active
+        for x in over:
+            table = table.unionByName(x)
+        far = table.select(F.col("id").alias("to"), F.col("to").alias("to_"), F.col("d").alias("d_"))
+        moved = staged(active.join(far, "to", "left").select("id", F.coalesce("to_", "to").alias("to"), (F.col("d") + F.coalesce("d_", F.lit(0))).alias("d"), F.col("to_").isNull().alias("over")), "jumps")
+        over.append(moved.filter("over").drop("over"))
+        active = moved.filter("NOT over").drop("over")
+        left = active.count()
+    known = active
+    for x in over:
+        known = known.unionByName(x)
+    first = ids.join(up.withColumnRenamed("id", "root"), "root", "left")
+    return first.join(known.select(F.col("id").alias("to"), "d"), "to", "left").select("root", F.when(F.col("to").isNull(), 0).otherwise(1 + F.coalesce("d", F.lit(0))).cast("int").alias("depth"))
+
+
 def lineage_fields(spawns: DataFrame, chain: DataFrame) -> DataFrame:
     """(root, names): the bookkeeping fields of all spawns on a chain. spawns: (node, names); chain: of ``ancestors``."""
     return chain.join(spawns, "node").groupBy("root").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))

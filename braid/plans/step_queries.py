@@ -142,8 +142,7 @@ def latest_child(spark, sf_dir):
 def ancestor_chains(spark, sf_dir):
     """How far up the chain of callers of each urgent flow goes."""
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
-    out = trees.ancestors(o.filter("id > 1").select(F.floor(F.col("id") / 2).alias("up"), "id"), o.filter("o_orderpriority LIKE '1%'").select("id"), "up", "id")
-    return out.groupBy("root").agg(F.max("depth").alias("depth"))
+    return trees.heights(o.filter("id > 1").select(F.floor(F.col("id") / 2).alias("up"), "id"), o.filter("o_orderpriority LIKE '1%'").select("id"), "up", "id")
 
 
 @query(f"""WITH {STEPS}, r AS (SELECT flow_id, step_id, row_number() OVER (PARTITION BY priority ORDER BY updated_at, step_id) AS rn, status, priority FROM steps WHERE status = 'interrupted')

@@ -105,3 +105,19 @@ def test_levels_of_trees_are_not_held_against_all_visited_nodes(spark, monkeypat
     monkeypatch.setattr(rel.batches, "add", lambda self, rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(self, rows))
     rel.descendants(edges, spark.createDataFrame([(1,), (3,)], "id long"), "p", "c").count()
     assert len(plans) == 8 and not any("LeftAnti" in p for p in plans)
+
+
+def test_heights_equal_chains_in_few_rounds(spark, monkeypatch):
+    chains = [(c // 2, c) for c in range(2, 40)] + [(i - 1, i) for i in range(101, 170)] + [(None, 90)]
+    loops = [(1, 2), (2, 3), (3, 1), (2, 4)]
+    several = [(1, 3), (2, 3), (0, 1)]
+    rounds = []
+    monkeypatch.setattr(trees, "staged", lambda df, name, one=trees.staged: rounds.append(name) or one(df, name))
+    for edges, least in ((chains, 5), (loops, 1), (several, 1)):
+        starts = sorted({n for e in edges for n in e if n is not None}) + [7, 7, 999]
+        want = {}
+        for (s, _), d in _walked([(c, p) for p, c in edges if p is not None], starts).items():
+            want[s] = max(d, want.get(s, 0))
+        rounds.clear()
+        got = trees.heights(spark.createDataFrame(edges, "p long, c long"), spark.createDataFrame([(s,) for s in starts], "id long"), "p", "c").collect()
+        assert sorted(map(tuple, got)) == sorted(want.items()) and least <= len(rounds) <= 10
