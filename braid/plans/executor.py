@@ -2,10 +2,11 @@
 
 A task is a function from a state column (MAP of field to JSON text) to a column of changes, so it stays in the JVM; the
 changes may hold ``$error`` (the task failed, its other changes are void) or ``$goto`` (JSON text of a node name). A level
-evaluates the tasks of all its nodes in one projection, routes by one array of branches per step, and is staged; the log of
-steps is appended to, and only the members of open cohorts are carried on. A fan-in fires when no branch of its cohort is
+evaluates the tasks of all its nodes in one projection, routes by one array of branches per step, and is staged; those tables
+are the log of steps, and only the members of open cohorts are carried on. A fan-in fires when no branch of its cohort is
 under way: the changes of its completed members, in fold order, are reduced onto the state of the spawn in one aggregation
-for all cohorts of the level. What a flow ends with is the merge of its last steps, of all flows at once.
+for all cohorts of the level. What a flow ends with is the merge of its last steps, of all flows at once; in a graph without
+fan-outs and reducers it is what its one last step left.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from braid.functions import state as st
 from braid.operators import states as sts
 from braid.plans.graph import END, Edge, Graph
 from braid.plans.predicate import compiled
-from braid.sources.staging import appended, staged
+from braid.sources.staging import appended, batches, staged
 
 Task = Callable[[Column], Column]
 
@@ -28,7 +29,6 @@ Task = Callable[[Column], Column]
 UNSTAGED = 8
 
 _FRAME = "array<struct<spawn:string,ordinal:int>>"
-_LOG = "flow_id long, path string, node string, frames " + _FRAME + ", depth int, state map<string,string>, delta map<string,string>, status string, spawns boolean, arrives boolean, onward boolean"
 _WAITING = "flow_id long, path string, node string, frames " + _FRAME + ", depth int, state map<string,string>, delta map<string,string>"
 _MEMBER = "flow_id long, spawn string, o struct<ordinal:int,depth:int,path:string>, delta map<string,string>, status string, error string"
 
@@ -86,18 +86,34 @@ def _spreads(g: Graph) -> dict[str, list[str]]:
     return {n: [f"{e.item or 'item'}{x}" for e in g.leaving(n) if e.for_each for x in ("", "Index", "Count")] for n in g.urls if any(e.for_each for e in g.leaving(n))}
 
 
+def _straight(g: Graph) -> bool:
+    """Whether every step is followed by one step at most, and what a flow ends with is no fold by reducers."""
+    gotos = [(e.source, e.target) for e in g.edges if e.goto]
+    return not g.reducers and not any(g.fans_out(n) for n in g.urls) and len(set(gotos)) == len(gotos)
+
+
+def _outcomes(ends: DataFrame) -> DataFrame:
+    return ends.select("flow_id", "status", "state", sts.text_of(F.when(F.col("status") == "failed", F.col("error"))).alias("error"))
+
+
 def run(graph: Graph, flows: DataFrame, tasks: dict[str, Task], max_levels: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, steps) of a graph for flows (flow_id, state as JSON text).
+    """(outcomes, steps) of a graph for flows (flow_id, state as JSON text); outcomes hold states as JSON text, else as in ``run_maps``."""
+    out, steps = run_maps(graph, flows.withColumn("state", st.entries(F.col("state"))), tasks, max_levels)
+    return out.withColumn("state", st.encode(F.col("state"))), steps
+
+
+def run_maps(graph: Graph, flows: DataFrame, tasks: dict[str, Task], max_levels: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, steps) of a graph for flows (flow_id, state as MAP of field to JSON text).
 
-    outcomes: flow_id, status (completed or failed), state as JSON text, error. A node without a task changes nothing.
+    outcomes: flow_id, status (completed or failed), state as such a MAP, error. A node without a task changes nothing.
     A failed branch fails its cohort when the last branch of it has arrived, and so on outward; the flow fails with the
     first error by branch. Levels run until no flow is under way; a stated ``max_levels`` that is reached before is an error.
     """
     graph.validate()
-    meets, spark, spreads = graph.convergence(), flows.sparkSession, _spreads(graph)
+    meets, spark, spreads, straight = graph.convergence(), flows.sparkSession, _spreads(graph), _straight(graph)
     empty, frame = sts.no_fields(), F.try_element_at(F.col("frames"), F.lit(-1))
-    log, ends = appended(spark, "log", _LOG), appended(spark, "ends", "flow_id long, status string, error string")
-    level = flows.select(F.col("flow_id").cast("long").alias("flow_id"), F.lit(graph.entry).alias("path"), F.lit(graph.entry).alias("node"), F.array().cast(_FRAME).alias("frames"), F.lit(1).alias("depth"), F.coalesce(st.entries(F.col("state")), empty).alias("state"))
+    log, ends = batches(spark, "log"), appended(spark, "ends", "flow_id long, status string, error string")
+    level = flows.select(F.col("flow_id").cast("long").alias("flow_id"), F.lit(graph.entry).alias("path"), F.lit(graph.entry).alias("node"), F.array().cast(_FRAME).alias("frames"), F.lit(1).alias("depth"), F.coalesce("state", empty).alias("state"))
     waiting, members = spark.createDataFrame([], _WAITING), spark.createDataFrame([], _MEMBER)
     # the expressions of a level are the same for every level, so they are built once
     task_changes = F
@@ -123,10 +139,10 @@ def run(graph: Graph, flows: DataFrame, tasks: dict[str, Task], max_levels: int
     for at in count(1):
         done = level.withColumn("delta", delta).withColumns({"error": error, "goto": goto}).withColumn("delta", kept).withColumns({"next": following, "failed": F.col("error").isNotNull()})
         done = done.withColumns({"unspread": unspread, "branches": branches}).withColumn("branches", spread)
-        done = staged(done.withColumns(flags), "steps")
-        log.add(done)
+        done = log.add(done.withColumns(flags))
         # flows that end here, and branches that go on; those into a fan-in have arrived
-        ends.add(done.filter(over).select("flow_id", "status", "error"))
+        if not straight:
+            ends.add(done.filter(over).select("flow_id", "status", "error"))
         on = done.filter("status = 'completed'").select("*", F.posexplode("branches").alias("ordinal", "b")).filter((F.col("b.target") != END) & ~F.col("b.target").isin(*graph.fan_ins, ""))
         level = staged(on.select("flow_id", *branch), "level")
         if meets:
@@ -165,6 +181,10 @@ def run(graph: Graph, flows: DataFrame, tasks: dict[str, Task], max_levels: int
         if at == max_levels:
             raise ValueError(f"flows are under way after {max_levels} levels")
     steps = log.read()
+    log_rows = steps.select("flow_id", "path", "node", "frames", "depth", "state", "delta", "status")
+    if straight:  # the step that a flow ends with is its only tail, so its changes need no fold
+        last = F.map_filter("delta", lambda k, v: ~k.startswith("$"))
+        return _outcomes(steps.filter(over).select("flow_id", "status", "error", st.without_deleted(st.overlay(F.col("state"), last)).alias("state"))), log_rows
     # a step whose cohort met, and a spawn whose branches did, are followed by the fan-in
     follows = F.when(F.col("spawns"), F.concat("path", F.lit(">"))).when(F.col("arrives"), F.concat(frame["spawn"], F.lit(">")))
     met = steps.filter(F.col("path").endswith(">")).select("flow_id", F.col("path").alias("follows"), F.lit(True).alias("met"))
@@ -172,4 +192,4 @@ def run(graph: Graph, flows: DataFrame, tasks: dict[str, Task], max_levels: int
     stored = stored.select("flow_id", F.col("path").alias("step_id"), frame["spawn"].alias("lineage_id"), frame["ordinal"].alias("fan_out_ordinal"), F.col("depth").alias("step_depth"), "status", F.col("node").alias("task_name"), (~F.col("onward") & F.col("met").isNull()).alias("tail"), "state", F.col("delta").alias("changes"))
     final = sts.final_states(stored, graph.reducers, spreads, ("step_depth", "step_id"))
     out = ends.read().join(final, "flow_id", "left")
-    return out.select("flow_id", "status", st.encode(F.col("state")).alias("state"), sts.text_of(F.when(F.col("status") == "failed", F.col("error"))).alias("error")), steps.select("flow_id", "path", "node", "frames", "depth", "state", "delta", "status")
+    return _outcomes(out), log_rows

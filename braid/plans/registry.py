@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braid.functions import state as st
-from braid.plans.executor import Task, run
+from braid.plans.executor import Task, run, run_maps
 from braid.plans.graph import Graph
 
 
@@ -27,8 +27,10 @@ class Registry:
 
     def run(self, name: str, flows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(outcomes, steps) of a graph for flows (flow_id, state)."""
-        g = self.graphs[name]
-        return run(g, flows, {n: t for n, t in self.tasks.items() if n in g.urls})
+        return run(self.graphs[name], flows, self._tasks(name))
+
+    def _tasks(self, name: str) -> dict[str, Task]:
+        return {n: t for n, t in self.tasks.items() if n in self.graphs[name].urls}
 
     def call(self, name: str, rows: DataFrame, inputs: dict[str, str], outputs: dict[str, str]) -> DataFrame:
         """Rows (flow_id, state, ...) with a child graph's fields in their state, and ``error`` where the child failed.
@@ -37,8 +39,10 @@ class Registry:
         """
         own = st.entries(F.col("state"))
         given = F.map_from_arrays(F.array(*[F.lit(k) for k in inputs]), F.array(*[F.element_at(own, v) for v in inputs.values()])) if inputs else F.map_filter(own, lambda k, v: F.lit(False))
-        out, _ = self.run(name, rows.select("flow_id", st.encode(F.map_filter(given, lambda k, v: v.isNotNull())).alias("state")))
-        back = out.select("flow_id", F.col("status").alias("s_"), st.entries(F.col("state")).alias("r_"), F.col("error").alias("e_"))
+        out, _ = run_maps(self.graphs[name], rows.select("flow_id", F.map_filter(given, lambda k, v: v.isNotNull()).alias("state")), self._tasks(name))
+        # of what the child ended with, only the fields that cross are parsed
+        crossing = F.transform_values(F.map_filter("state", lambda k, v: k.isin(*outputs.values())), lambda k, v: F.to_json(F.try_parse_json(v)))
+        back = out.select("flow_id", F.col("status").alias("s_"), crossing.alias("r_"), F.col("error").alias("e_"))
         joined = rows.join(back, "flow_id", "left")
         taken = F.map_from_arrays(F.array(*[F.lit(k) for k in outputs]), F.array(*[F.element_at("r_", v) for v in outputs.values()])) if outputs else F.map_filter("r_", lambda k, v: F.lit(False))
         new = st.encode(st.overlay(own, F.map_filter(taken, lambda k, v: v.isNotNull())))

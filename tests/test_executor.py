@@ -90,3 +90,21 @@ def test_terminal_merge_reduces_and_type_errors_fail(spark):
     assert got[0] == ("completed", {"items": [1, 2], "n": 18}, None)
     assert [got[i][0] for i in (1, 2, 3, 4)] == ["failed", "failed", "failed", "completed"]
     assert got[1][2] == got[2][2] == "reducer 'add' for field 'n': wrong type" and got[3][2] == "forEach field 'items' is not an array"
+
+
+def test_straight_graphs_end_without_folds(spark, monkeypatch):
+    from braid.plans import executor
+
+    g = Graph("g").edge("a", "b", switch=True, when="n > 1").edge("a", "c", switch=True, when="true").edge("a", "d", on_error=True).chain("b", END).chain("c", END).chain("d", END)
+    n = lambda s: F.element_at(s, "n")
+    tasks = {
+        "a": lambda s: F.when(n(s) == "3", F.create_map(F.lit("$error"), F.lit('"three"'))).otherwise(F.create_map(F.lit("m"), n(s), F.lit("$own"), F.lit("1"))),
+        "b": lambda s: F.create_map(F.lit("n"), F.lit("null"), F.lit("$x"), F.lit("1")),
+        "c": lambda s: F.when(n(s) == "0", F.create_map(F.lit("$error"), F.lit('"zero"'))).otherwise(F.create_map(F.lit("c"), F.lit('"x"'))),
+    }
+    flows = spark.createDataFrame([(1, '{"n":0}'), (2, '{"n":1,"k":[1]}'), (3, '{"n":2}'), (4, '{"n":3}'), (5, None)], "flow_id long, state string")
+    out, _ = executor.run(g, flows, tasks)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(executor, "_straight", lambda g: False)
+    want, _ = executor.run(g, flows, tasks)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.count() == 5
