@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from braid.functions import state as st
 from braid.plans.executor import Task, run, run_maps
 from braid.plans.graph import Graph
+from braid.sources.staging import by_key
 
 
 class Registry:
@@ -43,7 +44,8 @@ class Registry:
         # of what the child ended with, only the fields that cross are parsed
         crossing = F.transform_values(F.map_filter("state", lambda k, v: k.isin(*outputs.values())), lambda k, v: F.to_json(F.try_parse_json(v)))
         back = out.select("flow_id", F.col("status").alias("s_"), crossing.alias("r_"), F.col("error").alias("e_"))
-        joined = rows.join(back, "flow_id", "left")
+        # Spark may take either side for small by its compressed bytes, so both are shuffled into tasks of bounded rows
+        joined = by_key(rows, "flow_id").join(by_key(back, "flow_id").hint("merge"), "flow_id", "left")
         taken = F.map_from_arrays(F.array(*[F.lit(k) for k in outputs]), F.array(*[F.element_at("r_", v) for v in outputs.values()])) if outputs else F.map_filter("r_", lambda k, v: F.lit(False))
         new = st.encode(st.overlay(own, F.map_filter(taken, lambda k, v: v.isNotNull())))
         return joined.select(*[c for c in rows.columns if c not in ("state", "error")], F.when(F.col("s_") == "completed", new).otherwise(F.col("state")).alias("state"), F.when(F.col("s_") == "failed", F.col("e_")).alias("error"))

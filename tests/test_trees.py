@@ -121,3 +121,9 @@ def test_heights_equal_chains_in_few_rounds(spark, monkeypatch):
         rounds.clear()
         got = trees.heights(spark.createDataFrame(edges, "p long, c long"), spark.createDataFrame([(s,) for s in starts], "id long"), "p", "c").collect()
         assert sorted(map(tuple, got)) == sorted(want.items()) and least <= len(rounds) <= 10
+
+
+def test_calls_are_not_broadcast_by_compressed_size(spark):
+    r = Registry().graph(Graph("child").chain("c", END)).task("c", lambda s: F.create_map(F.lit("m"), F.lit("1")))
+    plan = r.call("child", spark.range(50).select(F.col("id").alias("flow_id"), F.lit('{"x":4}').alias("state")), {"n": "x"}, {"y": "m"})._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
